@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import staged, table
-from .tokens import Encoder, vocabulary_path
+from .tokens import encoder, vocabulary_path
 
 BLOCK = 128
 #: The share of a block's values that its width must hold.
@@ -124,7 +124,7 @@ def write(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
     """Encodes ``docs`` in ascending doc_id order with the vocabulary at ``path`` and writes the segments; returns the written table."""
 
     def run(batches):
-        encoder, part = Encoder(path, end), TaskContext.get().partitionId()
+        encode, part = encoder(path, end).encode, TaskContext.get().partitionId()
         nth = before = held = 0
         doc_ids: list[int] = []
         ids: list[bytes] = []
@@ -135,7 +135,7 @@ def write(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids.append(encoder.encode(text.as_py()))
+                ids.append(encode(text.as_py()))
                 doc_ids.append(doc)
                 held += len(ids[-1]) // 4
                 if held >= SEGMENT_IDS:

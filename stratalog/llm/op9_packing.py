@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import numbered, staged, table
-from .tokens import Encoder, vocabulary_path
+from .tokens import encoder, vocabulary_path
 
 CAPACITY = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -93,11 +93,11 @@ def pieces(docs: DataFrame, path: str, end: int = 1, capacity: int = CAPACITY) -
     """The pieces of each document's ids, in order, none longer than ``capacity``."""
 
     def run(batches):
-        encoder = Encoder(path, end)
+        encode = encoder(path, end).encode
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(text.as_py())
+                ids = encode(text.as_py())
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -6,7 +6,11 @@ import importlib
 
 _MODULES = {
     "op2_token_files": ("op2_token_files", "op2"),
+    "op4_quality_rules": ("op4_quality", "op4"),
+    "op5_license_scan": ("op5_licenses", "op5"),
+    "op7_fingerprints": ("op7_fingerprints", "op7"),
     "op9_best_fit_packing": ("op9_packing", "op9"),
+    "op10_sharding": ("op10_sharding", "op10"),
 }
 
 
@@ -19,4 +23,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .op4_quality import SQL as op4
+
+    return {"op4_quality_rules": op4}

@@ -7,6 +7,7 @@ settled; other texts go to the library whole.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import unicodedata
@@ -76,3 +77,9 @@ class Encoder:
         if len(self.kept) > KEPT_PIECES:
             self.kept.clear()
         return b"".join(map(self.kept.__getitem__, self.pattern.findall(low))) + self.end
+
+
+@functools.lru_cache(maxsize=4)
+def encoder(path: str, end: int) -> Encoder:
+    """A worker's encoder, which keeps its pieces from one task to the next."""
+    return Encoder(path, end)
