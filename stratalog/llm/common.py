@@ -58,3 +58,11 @@ def numbered(df: DataFrame, groups: list[str], order: list[str], into: str, rows
     within = F.row_number().over(Window.partitionBy(*groups, "_block").orderBy(*order))
     keys = [*groups, "_block"]
     return df.withColumn("_row", within - 1).join(first.drop("_n"), keys).withColumn(into, (F.col("_first") + F.col("_row")).cast("long")).drop("_block", "_row", "_first")
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished, staged steps now, not when the driver next happens to collect its garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
