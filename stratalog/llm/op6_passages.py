@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import release, staged, table
-from .words import grams, word_hashes
+from .words import grams, mixed, word_hashes
 
 K = 6
 WINDOW = 16
@@ -34,7 +34,8 @@ PASSAGES = "doc_id long, start long, length long, source_doc_id long, source_sta
 
 
 def minimizers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the seeds of a text; of a run of equal seeds only the first."""
+    """Hashes and places of the seeds of a text. Of a run of equal seeds, as repeated words make, one in each WINDOW words is kept and its hash
+    tells which it is."""
     if len(words) < K:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     all_ = grams(words, K)
@@ -44,8 +45,11 @@ def minimizers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         windows = np.lib.stride_tricks.sliding_window_view(all_, WINDOW)
         at = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
     h = all_[at]
-    new = np.concatenate([[True], h[1:] != h[:-1]])
-    return h[new], at[new]
+    run = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
+    since = (at - at[np.searchsorted(run, run)]) // WINDOW
+    new = np.concatenate([[True], (run[1:] != run[:-1]) | (since[1:] != since[:-1])])
+    h, since = h[new], since[new].astype(np.uint64)
+    return np.where(since == 0, h, mixed(h + since)), at[new]
 
 
 def chains(places: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
