@@ -75,6 +75,14 @@ def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([(x == b).sum(axis=1) for x in a]) >= LOOSE * COORDINATES
 
 
+def _top(root, x: int) -> int:
+    """The root of ``x`` in a forest."""
+    while root[x] != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
+
+
 def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
@@ -86,7 +94,7 @@ def _with_pivot(batches):
 
 
 def loose_edges(sets: DataFrame, threshold: float, runs: int) -> DataFrame:
-    """Pairs (a, b) of sets (id, sketch) that lie in one node of some run and whose sketches agree enough."""
+    """Edges (a, b) between sets (id, sketch) that connect all those that lie in one node of some run and whose sketches agree enough."""
 
     def start(batches):
         seeds = mixed(np.arange(1, runs + 1, dtype=np.uint64))
@@ -110,7 +118,11 @@ def loose_edges(sets: DataFrame, threshold: float, runs: int) -> DataFrame:
                 ids = np.array([x["id"] for x in node])
                 own = np.frombuffer(b"".join(x["sketch"] for x in node), np.uint32).reshape(-1, COORDINATES)
                 i, j = np.nonzero(np.triu(_alike(own, own), 1))
-                rows += zip(ids[i].tolist(), ids[j].tolist())
+                root = list(range(len(ids)))
+                for a, b in zip(i.tolist(), j.tolist()):
+                    a, b = _top(root, a), _top(root, b)
+                    root[max(a, b)] = min(a, b)
+                rows += [(int(ids[a]), int(ids[_top(root, a)])) for a in range(len(ids)) if root[a] != a]
             yield _edges(rows)
 
     def rest(batches):
@@ -180,18 +192,12 @@ def _compared(threshold: float):
             if not one:
                 links[right] += linked.T @ copies[left]
 
-            def top(x: int) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
             for i, row in zip(left, linked):
                 for j in right[row]:
-                    a, b = top(i), top(j)
+                    a, b = _top(root, i), _top(root, j)
                     if a != b:
                         root[max(a, b)] = min(a, b)
-            root = np.array([top(x) for x in range(len(ids))])
+            root = np.array([_top(root, x) for x in range(len(ids))])
         return pa.table({"id": ids, "links": links, "root": ids[root]})
 
     return run
@@ -211,7 +217,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = 5, recall: floa
             made = [shingles(x.as_py(), k).tobytes() for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*batch.drop_columns(["text"]).columns, pa.array(made, pa.binary())], names=["id", "copies", "component", "items"])
 
-    first = docs.join(members.withColumnRenamed("id", "doc_id"), "doc_id")
+    first = docs.join(members.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id")
     full = first.select(F.col("doc_id").alias("id"), "copies", "component", "text").mapInArrow(items, "id long, copies long, component long, items binary")
     blocks = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = full.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
