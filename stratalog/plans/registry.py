@@ -1,11 +1,439 @@
-"""All queries of the catalog engine by name, with their SQL."""
+"""All queries of the catalog engine by name, with their SQL.
+
+Each entry is a function of (spark, sf_dir) and, where SQL can express it, DuckDB's SQL over the same tables.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import names
+from ..operators import catalogs, side_tables
+from ..sources.catalog import CATALOG_SQL, PATHS_SQL, catalog, table
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+_NOW_EVENTS = 1706659200  # 2024-01-31
+_CATALOG, _PATHS = f"WITH {CATALOG_SQL}", f"WITH {PATHS_SQL}"
+_KIND_SQL = "CASE WHEN is_dir THEN 'Directory' WHEN name LIKE '%.png' THEN 'Image' WHEN name LIKE '%.zip' THEN 'Archive' WHEN name LIKE '%.rs' THEN 'Code' WHEN name LIKE '%.pdf' OR name LIKE '%.txt' THEN 'Document' ELSE 'Other' END"
+
+
+def _query(name: str, sql: str | None = None):
+    def add(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# --- search ---------------------------------------------------------------------------------------------------------------------------
+
+
+def _tier_sql(needle: str) -> str:
+    """Tiers of catalog names: their words start after anything that is neither letter nor digit, and at capitals after small letters."""
+    return f"""CASE WHEN lower(name) = '{needle}' THEN 0 WHEN starts_with(lower(name), '{needle}') THEN 1
+      WHEN contains(lower(name), '{needle}') THEN CASE WHEN len(list_filter(range(1, len(name) + 1), lambda i: starts_with(lower(name[i:]), '{needle}') AND (i = 1
+        OR (regexp_matches(name[i], '[A-Za-z0-9]') AND NOT regexp_matches(name[i - 1], '[A-Za-z0-9]'))
+        OR (regexp_matches(name[i], '[A-Z]') AND regexp_matches(name[i - 1], '[a-z]'))
+        OR (regexp_matches(name[i], '[A-Z]') AND regexp_matches(name[i - 1], '[A-Z]') AND regexp_matches(name[i + 1], '[a-z]'))))) > 0 THEN 2 ELSE 3 END END"""
+
+
+def _ranked_sql(needle: str, where: str = "true", limit: int = 100, offset: int = 0) -> str:
+    return f"""{_CATALOG}, hits AS (SELECT *, {_tier_sql(needle)} AS tier FROM catalog WHERE parent <> 0 AND {where})
+    SELECT rank, id, name, tier FROM (SELECT id, name, tier, row_number() OVER (ORDER BY tier, strlen(lower(name)), lower(name), id) AS rank FROM hits WHERE tier IS NOT NULL) WHERE rank > {offset} AND rank <= {offset + limit}"""
+
+
+def _page(df: DataFrame) -> DataFrame:
+    return df.select("rank", "id", "name", F.col("tier").cast("int").alias("tier"))
+
+
+@_query("ranked_search_ascii", _ranked_sql("0012"))
+def _(s: SparkSession, d: str):
+    return _page(catalogs.ranked(catalog(s, d), "0012", ascii_only=True))
+
+
+@_query("ranked_search_filtered", _ranked_sql("order", "size >= 10485760 AND name LIKE '%.pdf'", 50, 10))
+def _(s, d):
+    where = (F.col("size") >= 10485760) & (names.extension(F.col("name")) == "pdf")
+    return _page(catalogs.ranked(catalog(s, d), "order", where, 50, 10, ascii_only=True))
+
+
+@_query("stream_literal", f"{_CATALOG} SELECT id, name FROM catalog WHERE parent <> 0 AND contains(lower(name), '77')")
+def _(s, d):
+    return catalog(s, d).where((F.col("parent") != 0) & names.tier(F.col("name"), "77", True).isNotNull()).select("id", "name")
+
+
+@_query("no_match_search", _ranked_sql("zqxjw"))
+def _(s, d):
+    return _page(catalogs.ranked(catalog(s, d), "zqxjw", ascii_only=True))
+
+
+@_query("tier_histogram", f"{_CATALOG}, hits AS (SELECT {_tier_sql('01')} AS tier FROM catalog WHERE parent <> 0) SELECT tier, count(*) AS n FROM hits GROUP BY tier")
+def _(s, d):
+    return catalog(s, d).where("parent <> 0").groupBy(names.tier(F.col("name"), "01", True).cast("int").alias("tier")).agg(F.count("*").alias("n"))
+
+
+@_query("name_dictionary", "SELECT lower(p_name) AS folded, count(*) AS n, list_aggregate(list(p_partkey ORDER BY p_partkey), 'string_agg', ',') AS ids FROM part GROUP BY 1")
+def _(s, d):
+    rows = table(s, d, "part").groupBy(names.fold(F.col("p_name")).alias("folded")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("p_partkey")).alias("ids"))
+    return rows.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
+
+
+@_query("one_edit_matches", "SELECT DISTINCT p_name AS name, w AS word FROM (SELECT p_name, unnest(string_split(lower(p_name), ' ')) AS w FROM part) WHERE levenshtein(w, 'bold') <= 1")
+def _(s, d):
+    rows = table(s, d, "part").select(F.col("p_name").alias("name"), F.explode(F.split(F.lower("p_name"), " ")).alias("word"))
+    return rows.where(names.one_edit(F.col("word"), F.lit("bold"))).distinct()
+
+
+@_query("delete_keys", "SELECT DISTINCT 'd:' || k AS key FROM (SELECT w AS k FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part) WHERE len(w) BETWEEN 3 AND 24 UNION SELECT w[1:i - 1] || w[i + 1:] FROM (SELECT DISTINCT w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part) WHERE len(w) BETWEEN 3 AND 24))")
+def _(s, d):
+    words = table(s, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")).distinct().where(F.length("w").between(3, 24))
+    return words.select(F.explode(F.array_union(F.array("w"), names.deletions(F.col("w")))).alias("k")).select(F.concat(F.lit("d:"), "k").alias("key")).distinct()
+
+
+@_query("swap_distance")
+def _(s, d):
+    words = table(s, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).distinct()
+    return words.withColumn("distance", names.swaps_distance_to("glod", 2)(F.col("word"))).where("distance <= 2")
+
+
+@_query("trigram_candidates", "SELECT key, count(DISTINCT name) AS n FROM (SELECT name, name[i:i + 2] AS key FROM (SELECT DISTINCT lower(p_name) AS name, unnest(range(1, len(p_name) - 1)) AS i FROM part)) GROUP BY key")
+def _(s, d):
+    rows = table(s, d, "part").select(F.lower("p_name").alias("name")).distinct().where(F.length("name") >= 3)
+    grams = rows.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.length("name") - 2), lambda i: F.substring(F.col("name"), i, F.lit(3)))).alias("key"))
+    return grams.groupBy("key").agg(F.count_distinct("name").alias("n"))
+
+
+@_query("locality_rerank", f"""{_PATHS}, hits AS (SELECT id, path, {_tier_sql('00')} AS tier, CASE WHEN starts_with(path, '/ASIA/') THEN 0 ELSE 1 END AS locality FROM paths WHERE parent <> 0 AND NOT is_dir)
+  SELECT id, locality, row_number() OVER (ORDER BY tier, locality, id) AS rank FROM hits WHERE tier IS NOT NULL QUALIFY rank <= 100""")
+def _(s, d):
+    hits = catalogs.with_paths(catalog(s, d)).where("parent <> 0 and not is_dir").withColumn("tier", names.tier(F.col("name"), "00", True)).where("tier is not null")
+    hidden = F.exists(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), lambda p: F.startswith(p, F.lit(".")))
+    locality = F.when(names.path_under(F.col("path"), "/ASIA"), 0).otherwise(1) + F.when(hidden, 2).otherwise(0)
+    order = ("tier", "locality", "id")
+    page = hits.withColumn("locality", locality).orderBy(*order).limit(100)
+    return page.select("id", "locality", F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"))
+
+
+# --- filters --------------------------------------------------------------------------------------------------------------------------
+
+
+def _filter(name: str, sql: str, where):
+    @_query(name, f"{_CATALOG} SELECT id, name FROM catalog WHERE parent <> 0 AND {sql}")
+    def _(s, d):
+        return catalog(s, d).where(F.col("parent") != 0).where(where()).select("id", "name")
+
+
+_filter("filter_kind", f"{_KIND_SQL} = 'Document'", lambda: names.kind(F.col("name"), F.col("is_dir")) == "Document")
+_filter("filter_ext", "name LIKE '%.png'", lambda: names.extension(F.col("name")) == "png")
+_filter("filter_size_range", "size BETWEEN 10000000 AND 20000000", lambda: F.col("size").between(10000000, 20000000))
+_filter("filter_modified_range", "mtime >= 852076800 AND mtime < 883612800", lambda: (F.col("mtime") >= 852076800) & (F.col("mtime") < 883612800))
+_filter("filter_conjunction", "name LIKE '%.zip' AND size > 5000000 AND mtime < 883612800", lambda: (names.kind(F.col("name"), F.col("is_dir")) == "Archive") & (F.col("size") > 5000000) & (F.col("mtime") < 883612800))
+_filter("null_metadata_never_matches", "size >= 0 AND NOT is_dir", lambda: (F.col("size") >= 0) & ~F.col("is_dir"))
+_filter("glob_filter", "lower(name) LIKE 'order\\_0000%.t_t' ESCAPE '\\'", lambda: names.glob(F.col("name"), "ORDER_0000*.t?t"))
+
+
+# --- hierarchy ------------------------------------------------------------------------------------------------------------------------
+
+
+@_query("materialized_paths", f"{_PATHS} SELECT id, path FROM paths")
+def _(s, d):
+    return catalogs.with_paths(catalog(s, d)).select("id", "path")
+
+
+@_query("scope_members", f"{_PATHS} SELECT id, path FROM paths WHERE path = '/EUROPE' OR starts_with(path, '/EUROPE/')")
+def _(s, d):
+    return catalogs.with_paths(catalog(s, d)).where(names.path_under(F.col("path"), "/EUROPE/")).select("id", "path")
+
+
+@_query("children_of", f"{_CATALOG} SELECT id, name, row_number() OVER (ORDER BY name) AS position FROM catalog WHERE parent = 1003")
+def _(s, d):
+    return catalog(s, d).where("parent = 1003").select("id", "name", F.row_number().over(Window.orderBy("name")).cast("long").alias("position"))
+
+
+@_query("child_lookup", f"{_CATALOG} SELECT c.id, c.name FROM catalog c JOIN (SELECT n_name AS name, (1 + n_regionkey)::BIGINT AS parent FROM nation WHERE n_nationkey % 5 = 0) w USING (name, parent)")
+def _(s, d):
+    wanted = table(s, d, "nation").where("n_nationkey % 5 = 0").select(F.col("n_name").alias("name"), (F.col("n_regionkey") + 1).cast("long").alias("parent"))
+    return catalog(s, d).join(wanted, ["name", "parent"]).select("id", "name")
+
+
+@_query("root_counts", f"{_CATALOG} SELECT root, count(*) AS n FROM catalog WHERE parent <> 0 GROUP BY root")
+def _(s, d):
+    return catalog(s, d).where("parent <> 0").groupBy("root").agg(F.count("*").alias("n"))
+
+
+@_query("tree_size", f"{_CATALOG} SELECT root, sum(size)::BIGINT AS bytes FROM catalog GROUP BY root")
+def _(s, d):
+    return catalog(s, d).groupBy("root").agg(F.sum("size").alias("bytes"))
+
+
+@_query("breadcrumbs", f"{_PATHS} SELECT id, len(string_split(path, '/')) - 1 AS depth, string_split(path, '/')[2] AS first, string_split(path, '/')[-1] AS last FROM paths")
+def _(s, d):
+    parts = F.split("path", "/")
+    return catalogs.with_paths(catalog(s, d)).select("id", (F.size(parts) - 1).cast("long").alias("depth"), parts[1].alias("first"), F.element_at(parts, -1).alias("last"))
+
+
+# --- questions and listings -----------------------------------------------------------------------------------------------------------
+
+
+@_query("question_count", f"{_CATALOG} SELECT count(*) AS n FROM catalog WHERE parent <> 0 AND NOT is_dir AND name LIKE '%.pdf'")
+def _(s, d):
+    return catalog(s, d).where("parent <> 0 and not is_dir").where(names.extension(F.col("name")) == "pdf").agg(F.count("*").alias("n"))
+
+
+@_query("question_size", f"{_CATALOG} SELECT count(*) AS n, sum(size)::BIGINT AS bytes FROM catalog WHERE parent <> 0 AND NOT is_dir AND mtime >= 852076800")
+def _(s, d):
+    return catalog(s, d).where("parent <> 0 and not is_dir and mtime >= 852076800").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+@_query("question_largest", f"{_CATALOG} SELECT id, size, row_number() OVER (ORDER BY size DESC, id) AS rank FROM catalog WHERE NOT is_dir AND size IS NOT NULL QUALIFY rank <= 50")
+def _(s, d):
+    order = (F.desc("size"), F.col("id"))
+    top = catalog(s, d).where("not is_dir and size is not null").orderBy(*order).limit(50)
+    return top.select("id", "size", F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"))
+
+
+def _listing(by: str, descending: bool, key: str):
+    way = "DESC NULLS LAST" if descending else "ASC NULLS FIRST"
+
+    @_query(f"listing_by_{by}", f"{_CATALOG} SELECT id, row_number() OVER (PARTITION BY parent ORDER BY is_dir DESC, {', '.join(k + ' ' + way for k in key.split(';'))}, lower(name), id) AS position FROM catalog")
+    def _(s, d):
+        return catalogs.listing(catalog(s, d), by, descending).select("id", "position")
+
+
+_listing("name", False, "lower(name)")
+_listing("size", True, "coalesce(size, 0)")
+_listing("modified", False, "mtime")
+_listing("kind", False, f"list_position(['Directory', 'Image', 'Video', 'Audio', 'Archive', 'Code', 'Document', 'Other'], {_KIND_SQL});CASE WHEN contains(name, '.') THEN regexp_extract(name, '\\.([^.]*)$', 1) ELSE '' END")
+
+
+@_query("posting_keys", f"""{_CATALOG} SELECT key, count(*) AS n FROM (
+  SELECT 'r:' || root AS key FROM catalog UNION ALL SELECT 'k:' || ({_KIND_SQL}) FROM catalog UNION ALL SELECT 'e:' || regexp_extract(name, '\\.([^.]*)$', 1) FROM catalog WHERE NOT is_dir
+  UNION ALL SELECT 's:' || (CASE WHEN size = 0 THEN 0 ELSE len(bin(size)) END) FROM catalog WHERE size IS NOT NULL UNION ALL SELECT 'm:' || floor(mtime / 86400)::BIGINT FROM catalog WHERE mtime IS NOT NULL) GROUP BY key""")
+def _(s, d):
+    return catalogs.posting_keys(catalog(s, d))
+
+
+@_query("corpus_report", f"{_CATALOG} SELECT count(*) AS entries, count(*) FILTER (WHERE is_dir) AS dirs, count(DISTINCT name) AS names, count(DISTINCT lower(name)) AS folded, sum(strlen(name))::BIGINT AS name_bytes, sum(size)::BIGINT AS bytes FROM catalog")
+def _(s, d):
+    return catalog(s, d).agg(F.count("*").alias("entries"), F.count_if("is_dir").alias("dirs"), F.count_distinct("name").alias("names"), F.count_distinct(F.lower("name")).alias("folded"), F.sum(F.octet_length("name")).alias("name_bytes"), F.sum("size").alias("bytes"))
+
+
+@_query("length_histogram", "SELECT CASE WHEN n_chars = 0 THEN 0 ELSE len(bin(n_chars)) END::INT AS bucket, count(*) AS n FROM documents GROUP BY 1")
+def _(s, d):
+    return table(s, d, "documents").groupBy(names.bits(F.col("n_chars")).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@_query("format_size", f"{_CATALOG} SELECT id, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f KB', size / 1024.0::DOUBLE) WHEN size < 1073741824 THEN printf('%.1f MB', size / 1048576.0::DOUBLE) ELSE printf('%.1f GB', size / 1073741824.0::DOUBLE) END AS label FROM catalog WHERE size IS NOT NULL")
+def _(s, d):
+    return catalog(s, d).where("size is not null").select("id", names.format_size(F.col("size")).alias("label"))
+
+
+@_query("file_families", f"{_CATALOG} SELECT CASE WHEN name LIKE '%.pdf' THEN 'PDF' WHEN name LIKE '%.png' THEN 'Image' WHEN name LIKE '%.txt' THEN 'Text' WHEN name LIKE '%.zip' THEN 'Archive' ELSE 'Code' END AS family, count(*) AS n FROM catalog WHERE NOT is_dir GROUP BY 1")
+def _(s, d):
+    return catalog(s, d).where("not is_dir").groupBy(names.family(F.col("name")).alias("family")).agg(F.count("*").alias("n"))
+
+
+@_query("modified_months", f"{_CATALOG} SELECT strftime(make_timestamp(mtime * 1000000), '%Y-%m') AS bucket, count(*) AS n FROM catalog WHERE NOT is_dir GROUP BY 1")
+def _(s, d):
+    return catalog(s, d).where("not is_dir").groupBy(F.date_format(F.date_from_unix_date(names.day(F.col("mtime")).cast("int")), "yyyy-MM").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+# --- merge on read --------------------------------------------------------------------------------------------------------------------
+
+
+def _levels(s: SparkSession, d: str) -> DataFrame:
+    """The catalog as level 0, and two levels of changes to its orders and customers from the events."""
+    base = catalog(s, d).select(F.lit(0).alias("level"), F.lit("upsert").alias("op"), "*")
+    events = table(s, d, "events")
+    target = (F.col("event_id") % F.lit(15000) + 1_000_000_000).alias("id")
+    changes = events.select((F.col("event_id") % 2 + 1).cast("int").alias("level"), F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"), target, "event_id")
+    newest = changes.groupBy("level", "id").agg(F.max_by("op", "event_id").alias("op"), F.max("event_id").alias("e"))
+    files = base.where("not is_dir").select("id", "parent", "root", "name", "is_dir", "mtime")
+    made = newest.join(files, "id").select("level", "op", "id", "parent", "root", F.concat(F.lit("new_"), "name").alias("name"), "is_dir", F.col("e").alias("size"), "mtime")
+    dirs = base.where("is_dir and parent >= 1000 and id % 10 = 3").select(F.lit(3).alias("level"), F.lit("delete").alias("op"), *[c for c in base.columns if c not in ("level", "op")])
+    return base.unionByName(made).unionByName(dirs)
+
+
+_LEVELS_SQL = (
+    _CATALOG
+    + """, changes AS (
+  SELECT (event_id % 2 + 1)::INT AS level, (event_id % 15000 + 1000000000)::BIGINT AS id, arg_max(CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END, event_id) AS op, max(event_id) AS e FROM events GROUP BY 1, 2),
+levels AS (
+  SELECT 0 AS level, 'upsert' AS op, * FROM catalog
+  UNION ALL SELECT level, op, id, parent, root, 'new_' || name, is_dir, e, mtime FROM changes JOIN (SELECT id, parent, root, name, is_dir, mtime FROM catalog WHERE NOT is_dir) USING (id)
+  UNION ALL SELECT 3, 'delete', * FROM catalog WHERE is_dir AND parent >= 1000 AND id % 10 = 3),
+newest AS (SELECT * FROM levels QUALIFY row_number() OVER (PARTITION BY id ORDER BY level DESC) = 1),
+present AS (SELECT * EXCLUDE (level, op) FROM newest WHERE op <> 'delete'),
+live AS (SELECT c.* FROM present c LEFT JOIN present p ON c.parent = p.id LEFT JOIN present g ON p.parent = g.id LEFT JOIN present r ON g.parent = r.id
+  WHERE c.parent = 0 OR p.parent = 0 OR g.parent = 0 OR r.parent = 0)"""
+)
+
+
+@_query("live_view", f"{_LEVELS_SQL} SELECT id, name, size FROM live")
+def _(s, d):
+    return catalogs.live(_levels(s, d)).select("id", "name", "size")
+
+
+@_query("merged_levels", f"{_LEVELS_SQL} SELECT id, name, size FROM present")
+def _(s, d):
+    return catalogs.live(_levels(s, d), check_parents=False).select("id", "name", "size")
+
+
+@_query("orphans_hidden", f"{_LEVELS_SQL} SELECT id FROM present WHERE id NOT IN (SELECT id FROM live)")
+def _(s, d):
+    levels = _levels(s, d)
+    return catalogs.live(levels, False).select("id").join(catalogs.live(levels).select("id"), "id", "left_anti")
+
+
+@_query("shadowed_rows", f"{_LEVELS_SQL} SELECT id FROM levels WHERE level = 0 AND id NOT IN (SELECT id FROM levels WHERE level > 0)")
+def _(s, d):
+    levels = _levels(s, d)
+    return catalogs.shadowed(levels.where("level = 0"), levels.where("level > 0")).select("id")
+
+
+@_query("flush_delta", f"{_LEVELS_SQL} SELECT id, op FROM levels WHERE level > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY level DESC) = 1")
+def _(s, d):
+    changed = _levels(s, d).where("level > 0").groupBy("id").agg(F.max_by("op", "level").alias("op"))
+    older = _levels(s, d).where("level = 0").select("id")
+    return changed.where("op <> 'delete'").unionByName(changed.where("op = 'delete'").join(older, "id", "left_semi"))
+
+
+@_query("snapshot_diff", f"{_LEVELS_SQL} SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'delete' ELSE 'upsert' END AS op FROM catalog a FULL JOIN live b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.name <> b.name OR a.size IS DISTINCT FROM b.size")
+def _(s, d):
+    return catalogs.difference(catalog(s, d), catalogs.live(_levels(s, d)))
+
+
+@_query("live_root_counts", f"{_LEVELS_SQL} SELECT root, count(*) AS n FROM live WHERE parent <> 0 GROUP BY root")
+def _(s, d):
+    return catalogs.live(_levels(s, d)).where("parent <> 0").groupBy("root").agg(F.count("*").alias("n"))
+
+
+@_query("validate_catalog", f"""{_CATALOG} SELECT 'duplicate_id' AS "check", count(*) AS violations FROM (SELECT id FROM catalog GROUP BY id HAVING count(*) > 1)
+  UNION ALL SELECT 'zero_id', count(*) FROM catalog WHERE id = 0 UNION ALL SELECT 'nul_in_name', count(*) FROM catalog WHERE contains(name, chr(0)) UNION ALL SELECT 'root_not_directory', count(*) FROM catalog WHERE parent = 0 AND NOT is_dir
+  UNION ALL SELECT 'roots_per_root', count(*) FROM (SELECT root FROM catalog WHERE parent = 0 GROUP BY root HAVING count(*) > 1)
+  UNION ALL SELECT 'missing_parent', count(*) FROM catalog WHERE parent <> 0 AND parent NOT IN (SELECT id FROM catalog)
+  UNION ALL SELECT 'parent_not_directory', count(*) FROM catalog c JOIN catalog p ON c.parent = p.id WHERE NOT p.is_dir
+  UNION ALL SELECT 'other_root_than_parent', count(*) FROM catalog c JOIN catalog p ON c.parent = p.id WHERE c.root <> p.root""")
+def _(s, d):
+    return catalogs.violations(catalog(s, d))
+
+
+@_query("duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def _(s, d):
+    return table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@_query("log_gaps", "SELECT user_id, event_id, event_id - prior AS gap FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prior FROM events) WHERE event_id - prior > 300")
+def _(s, d):
+    prior = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
+    return table(s, d, "events").select("user_id", "event_id", (F.col("event_id") - prior).alias("gap")).where("gap > 300")
+
+
+# --- tags and visits ------------------------------------------------------------------------------------------------------------------
+
+
+def _tags(s, d):
+    labels = table(s, d, "labels")
+    path = F.concat(F.lit("doc:"), F.col("doc_id")).alias("path")
+    return labels.select(path, F.when(F.col("quality") == 1, "Good").otherwise("Low").alias("tag")).union(labels.where("toxic = 1").select(path, F.lit("toxic")))
+
+
+_TAGS_SQL = "WITH tags AS (SELECT 'doc:' || doc_id AS path, CASE WHEN quality = 1 THEN 'Good' ELSE 'Low' END AS tag FROM labels UNION ALL SELECT 'doc:' || doc_id, 'toxic' FROM labels WHERE toxic = 1)"
+
+
+@_query("tags_all_required", f"{_TAGS_SQL} SELECT path FROM tags WHERE lower(tag) IN ('good', 'toxic') GROUP BY path HAVING count(DISTINCT lower(tag)) = 2")
+def _(s, d):
+    return side_tables.with_all_tags(_tags(s, d), ["good", "TOXIC"])
+
+
+@_query("distinct_tags", f"{_TAGS_SQL} SELECT lower(tag) AS key, min(tag) AS tag, count(DISTINCT path) AS n FROM tags GROUP BY 1")
+def _(s, d):
+    return side_tables.distinct_tags(_tags(s, d))
+
+
+@_query("tag_prune", f"{_TAGS_SQL} SELECT path, tag FROM tags WHERE path IN (SELECT 'doc:' || doc_id FROM documents WHERE n_chars > 1000)")
+def _(s, d):
+    present = table(s, d, "documents").where("n_chars > 1000").select(F.concat(F.lit("doc:"), F.col("doc_id")).alias("path"))
+    return _tags(s, d).join(present, "path", "left_semi").select("path", "tag")
+
+
+def _visits(s, d):
+    return table(s, d, "events").select(F.concat(F.lit("/"), F.col("user_id"), F.lit("/"), F.col("event_type")).alias("path"), F.concat(F.lit("/"), F.col("user_id")).alias("parent"), F.floor(names.seconds(F.col("ts"))).alias("t"))
+
+
+_VISITS_SQL = "WITH visits AS (SELECT '/' || user_id || '/' || event_type AS path, '/' || user_id AS parent, floor(epoch(ts))::BIGINT AS t FROM events), credit AS (SELECT path, 1.0::DOUBLE AS w, t FROM visits UNION ALL SELECT parent, 0.25::DOUBLE, t FROM visits)"
+
+
+@_query("frecency_scores", f"{_VISITS_SQL} SELECT path, round(sum(w * pow(0.5, greatest({_NOW_EVENTS} - t, 0) / 2592000.0::DOUBLE)), 4) AS score FROM credit GROUP BY path")
+def _(s, d):
+    return side_tables.scores(_visits(s, d), _NOW_EVENTS).withColumn("score", F.round("score", 4))
+
+
+@_query("recent_paths", f"{_VISITS_SQL} SELECT path, max(t) AS last_opened, row_number() OVER (ORDER BY max(t) DESC, path) AS position FROM visits GROUP BY path QUALIFY position <= 20")
+def _(s, d):
+    return side_tables.recent(_visits(s, d))
+
+
+# --- plans and changes ----------------------------------------------------------------------------------------------------------------
+
+
+@_query("plan_rename", f"{_PATHS} SELECT path AS source, 'scan-' || lpad(row_number() OVER (ORDER BY path)::VARCHAR, len((count(*) OVER ())::VARCHAR)::INT, '0') || '.png' AS name FROM paths WHERE name LIKE '%.png' AND starts_with(path, '/ASIA/')")
+def _(s, d):
+    files = catalogs.with_paths(catalog(s, d)).where(names.path_under(F.col("path"), "/ASIA") & (names.extension(F.col("name")) == "png"))
+    width = files.agg(F.length(F.count("*").cast("string")).alias("width"))
+    n = F.row_number().over(Window.orderBy("path")).cast("string")
+    return files.withColumn("n", n).crossJoin(F.broadcast(width)).select(F.col("path").alias("source"), F.concat(F.lit("scan-"), F.lpad(F.col("n"), F.col("width"), F.lit("0")), F.lit(".png")).alias("name"))
+
+
+@_query("plan_organize_kind", f"{_PATHS} SELECT path AS source, regexp_extract(path, '^(.*)/[^/]*$', 1) || '/' || CASE WHEN name LIKE '%.png' THEN 'Images' WHEN name LIKE '%.zip' THEN 'Archives' WHEN name LIKE '%.rs' THEN 'Code' ELSE 'Documents' END || '/' || name AS target FROM paths WHERE NOT is_dir AND root = 3")
+def _(s, d):
+    bucket = {"Image": "Images", "Archive": "Archives", "Code": "Code", "Document": "Documents", "Video": "Videos", "Audio": "Audio", "Other": "Other"}
+    named = F.create_map(*[F.lit(x) for kv in bucket.items() for x in kv])[names.kind(F.col("name"), F.col("is_dir"))]
+    files = catalogs.with_paths(catalog(s, d)).where("not is_dir and root = 3")
+    return files.select(F.col("path").alias("source"), F.concat_ws("/", F.regexp_extract("path", r"^(.*)/[^/]*$", 1), named, "name").alias("target"))
+
+
+@_query("plan_collisions", f"{_CATALOG} SELECT substr(name, 7, 5) AS target, count(*) AS n FROM catalog WHERE NOT is_dir GROUP BY 1 HAVING count(*) > 1")
+def _(s, d):
+    return catalog(s, d).where("not is_dir").groupBy(F.substring("name", 7, 5).alias("target")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+@_query("debounce_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 3600 THEN 0 ELSE 1 END AS fresh, event_id FROM events), n AS (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, k::BIGINT AS session, count(*) AS n FROM n GROUP BY ALL")
+def _(s, d):
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    t = names.seconds(F.col("ts"))
+    fresh = F.when(t - F.lag(t).over(order) <= 3600, 0).otherwise(1)
+    return table(s, d, "events").withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(order)).groupBy("user_id", "session").agg(F.count("*").alias("n"))
+
+
+@_query("operation_dedup", "SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY ALL")
+def _(s, d):
+    return table(s, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
+
+
+@_query("cancel_watermark", "SELECT event_id, event_id >= max(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS current FROM events")
+def _(s, d):
+    return table(s, d, "events").select("event_id", (F.col("event_id") >= F.max("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).alias("current"))
+
+
+@_query("url_segments", "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS host, len(list_filter(string_split(regexp_replace(url, '^[a-z]+://[^/]*', ''), '/'), lambda x: x <> ''))::BIGINT AS depth FROM pages")
+def _(s, d):
+    rest = F.regexp_replace("url", "^[a-z]+://[^/]*", "")
+    return table(s, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("host"), F.size(F.filter(F.split(rest, "/"), lambda x: x != "")).cast("long").alias("depth"))
+
+
+@_query("scrub_text")
+def _(s, d):
+    return table(s, d, "conversations").select("conv_id", "turn", names.scrubbed(F.col("text"), "/home/user").alias("text"))
