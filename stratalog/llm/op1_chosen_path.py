@@ -175,10 +175,11 @@ def _counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 def _compared(threshold: float):
     def run(group: pa.Table) -> pa.Table:
+        group = group.take(np.unique(group.column("id").to_numpy(), return_index=True)[1])  # rows that repeat a doc_id
         ids, copies = group.column("id").to_numpy(), group.column("copies").to_numpy()
         side = group.column("side").to_numpy()
         items = [np.frombuffer(x, np.uint64) for x in group.column("items").to_pylist()]
-        one = len(np.unique(group.column("low").to_numpy() - group.column("high").to_numpy())) == 1 and group.column("low")[0].as_py() == group.column("high")[0].as_py()
+        one = group.column("low")[0] == group.column("high")[0]
         left = np.nonzero(side == 0)[0]
         right = left if one else np.nonzero(side == 1)[0]
         links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
@@ -207,18 +208,20 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = 5, recall: floa
     """doc_id, class_id (the least doc_id of the class), n_links: how many other rows a row is linked with, copies included."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = staged(_sets(docs, k), "sketches")
-    sets = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
-    sets = staged(sets, "sets")
+    # a set goes by a hash of its items, as a doc_id may stand on several texts
+    sets = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
+    sets = staged(sets.withColumn("id", F.xxhash64("key")), "sets")
     loose = components(loose_edges(sets.select("id", "sketch"), threshold, runs_for(recall)))
-    members = staged(sets.select("id", "copies").join(loose, "id"), "loose")
+    members = staged(sets.select("id", "doc_id", "key", "copies").join(loose, "id"), "loose")
 
     def items(batches):
         for batch in batches:
             made = [shingles(x.as_py(), k).tobytes() for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["text"]).columns, pa.array(made, pa.binary())], names=["id", "copies", "component", "items"])
+            own = pa.array([xxhash.xxh3_128_digest(x) == key for x, key in zip(made, batch.column("key").to_pylist())], pa.bool_())
+            out = [*batch.select(["id", "copies", "component"]).columns, pa.array(made, pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, names=["id", "copies", "component", "items"]).filter(own)
 
-    first = docs.join(members.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id")
-    full = first.select(F.col("doc_id").alias("id"), "copies", "component", "text").mapInArrow(items, "id long, copies long, component long, items binary")
+    full = docs.join(members.hint("merge"), "doc_id").select("id", "copies", "component", "key", "text").mapInArrow(items, "id long, copies long, component long, items binary")
     blocks = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = full.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -227,7 +230,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = 5, recall: floa
     compared = staged(dealt.groupBy("component", "low", "high").applyInArrow(_compared(threshold), "id long, links long, root long"), "compared")
     links = compared.groupBy("id").agg(F.sum("links").alias("links"))
     classes = components(compared.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    named = sets.join(links, "id", "left").join(classes, "id", "left").select("key", F.coalesce("component", "id").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    least = sets.select("id", "doc_id").join(classes, "id").groupBy("component").agg(F.min("doc_id").alias("class"))
+    of = classes.join(least, "component").select("id", "class")
+    named = sets.join(links, "id", "left").join(of, "id", "left").select("key", F.coalesce("class", "doc_id").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     out = rows.select("doc_id", "n", "key").join(named, "key", "left")
     empty = F.col("n") == 0
     return out.select("doc_id", F.when(empty, F.col("doc_id")).otherwise(F.col("class")).alias("class_id"), F.when(empty, F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links"))

@@ -4,7 +4,7 @@ The index holds fixed templates of license texts: for each of their words, the t
 any template has are its hits. Of these, words in fewer than ``RARE`` of all documents are looked up, the ``LOOKED_UP`` with the highest inverse
 document frequency; document frequencies are counted over the whole corpus. A hit at word p whose posting is (template, k) votes for the
 template starting at word p - k, with the word's inverse document frequency. A template's label is given where the votes for one start
-reach ``LEAST`` of the sum over the template's rare words, and a key phrase of the template stands word by word where that start puts it.
+reach ``LEAST`` of the sum over the template's LOOKED_UP rarest words, and a key phrase of the template stands word by word where that start puts it.
 The score is the best such share.
 
 Base labels come from three plain phrases anywhere in the text and always stay. Nulls count as empty texts, without words or labels. Repeated
@@ -95,7 +95,7 @@ def scan(docs: DataFrame) -> DataFrame:
         """The best share of the template's weights at one start that has a key phrase in place."""
         words = text.split()
         weighed = [(k, w) for k, w in enumerate(words) if w in idf]
-        whole = sum(idf[w] for _, w in weighed)
+        whole = sum(sorted((idf[w] for _, w in weighed), reverse=True)[:LOOKED_UP])  # as many as are looked up
         if not whole:
             return F.lit(0.0)
         postings = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).alias("k")) for k, w in weighed])
