@@ -187,24 +187,32 @@ def train(words: DataFrame, customers: np.ndarray, n_words: int) -> list[State]:
 
 
 def _known(states: list[State]):
-    """For each word: its count, its probabilities above by sample, and its own shares by context, averaged, in one binary."""
+    """What is known of each word, as integers: customers and tables above in each sample, then of each context its number, the count and the sum of
+    its tables over the samples. Single bytes where all fit, which is so for most words, else 64 bits each."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             k, n, starts = _entries(batch)
-            own = np.zeros(len(n))
-            tops = []
+            heads, tables = [], np.zeros(len(n))
             for s, state in enumerate(states):
-                tables, customers, above = state.sweep(batch, BURN_IN + SAMPLES + s)
-                own += (n - DISCOUNT * tables) / (STRENGTH + state.customers[k]) / len(states)
-                tops.append(state.top(customers, above).astype("<f4"))
-            count = np.add.reduceat(n, starts[:-1]).astype("<i8")
-            head = np.hstack([count.view(np.uint8).reshape(-1, 8), np.stack(tops, axis=1).view(np.uint8).reshape(len(count), -1)])
-            entry = np.hstack([k.astype(np.uint8)[:, None], own.astype("<f4").view(np.uint8).reshape(-1, 4)])
-            blobs = [h.tobytes() + entry[a:b].tobytes() for h, a, b in zip(head, starts, starts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(blobs, pa.binary())], names=["h", "known"])
+                own, customers, above = state.sweep(batch, BURN_IN + SAMPLES + s)
+                tables += own
+                heads += [customers, above]
+            head = 2 * len(states)
+            each = np.diff(starts)
+            at = starts * 3 + head * np.arange(len(starts))
+            flat = np.zeros(at[-1], np.int64)
+            flat[at[:-1, None] + np.arange(head)] = np.stack(heads, axis=1)
+            entry = np.repeat(at[:-1] + head - starts[:-1] * 3, each) + 3 * np.arange(len(n))
+            flat[entry], flat[entry + 1], flat[entry + 2] = k, n, tables
+            small = np.maximum.reduceat(flat, at[:-1]) < 256
+            narrow, wide = flat.astype(np.uint8).tobytes(), flat.astype("<i8").tobytes()
+            cuts = list(zip(at[:-1].tolist(), at[1:].tolist(), small.tolist()))
+            bytes_ = pa.array([narrow[x:y] if z else None for x, y, z in cuts], pa.binary())
+            longs = pa.array([None if z else wide[8 * x : 8 * y] for x, y, z in cuts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("h"), bytes_, longs], names=["h", "bytes", "longs"])
 
     return run
 
@@ -221,29 +229,34 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def _scored(states: list[State], total: int, n_words: int):
     samples = len(states)
-    head = 8 + 4 * samples
     more = np.stack([s.more for s in states])
     unknown = np.array([s.top(np.zeros(1), np.zeros(1))[0] for s in states])
 
+    def told(right: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word of a chunk: the count, the probabilities above by sample, and the contexts' own shares."""
+        count, top, own = np.zeros(size, np.int64), np.tile(unknown, (size, 1)), np.zeros((size, CONTEXTS), np.float32)
+        for column, kind in (("bytes", np.uint8), ("longs", "<i8")):
+            part = right.filter(right.column(column).is_valid())
+            if not part.num_rows:
+                continue
+            at, blobs = part.column("i").to_numpy(), part.column(column).to_pylist()
+            flat = np.frombuffer(b"".join(blobs), kind).astype(np.int64)
+            sizes = np.array([len(b) for b in blobs]) // np.dtype(kind).itemsize
+            starts, each = np.cumsum(sizes) - sizes, (sizes - 2 * samples) // 3
+            for s, state in enumerate(states):
+                top[at, s] = state.top(flat[starts + 2 * s], flat[starts + 2 * s + 1])
+            entry = np.repeat(starts + 2 * samples, each) + 3 * (np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each))
+            k, n, tables = flat[entry], flat[entry + 1], flat[entry + 2]
+            word = np.repeat(at, each)
+            own[word, k] = (n - DISCOUNT * tables / samples) / (STRENGTH + states[0].customers[k])
+            np.add.at(count, word, n)
+        return count, top, own
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        blobs, at = right.column("known").to_pylist(), right.column("i").to_numpy()
         for row in left.to_pylist():
             tokens, before, doc, held = _tokens(row)
-            size = len(row["hashes"]) // 8
-            count = np.zeros(size, np.int64)
-            top = np.tile(unknown, (size, 1))
-            own = np.zeros((size, CONTEXTS), np.float32)
-            if blobs:
-                raw = np.frombuffer(b"".join(blobs), np.uint8)
-                sizes = np.array([len(b) for b in blobs])
-                starts = np.cumsum(sizes) - sizes
-                heads = raw[starts[:, None] + np.arange(head)]
-                count[at] = np.ascontiguousarray(heads[:, :8]).view("<i8").ravel()
-                top[at] = np.ascontiguousarray(heads[:, 8:]).view("<f4")
-                each = (sizes - head) // 5
-                where = np.repeat(starts + head, each) + 5 * (np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each))
-                own[np.repeat(at, each), raw[where]] = np.ascontiguousarray(raw[where[:, None] + 1 + np.arange(4)]).view("<f4").ravel()
+            count, top, own = told(right, len(row["contexts"]))
             p = own[tokens, before] + sum(more[s][before] * top[tokens, s] for s in range(samples)) / samples
             base = np.log10((count + 0.1) / (total + 0.1 * (n_words + 1)))
             n = len(row["doc_ids"])
@@ -262,6 +275,7 @@ def score(docs: DataFrame) -> DataFrame:
     chunks = staged(_chunks(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))), "chunks")
     counts = chunks.mapInArrow(_counts, "h long, k int, n long").groupBy("h", "k").agg(F.sum("n").alias("n"))
     words = staged(counts.groupBy("h").agg(F.sum("n").alias("c"), F.sort_array(F.collect_list(F.struct("k", "n"))).alias("at")), "words")
+    del counts
     release(spark)
     totals = words.select("c", F.explode("at").alias("e")).groupBy("e.k").agg(F.sum("e.n").alias("n")).collect()  # CONTEXTS rows at most
     customers = np.zeros(CONTEXTS)
@@ -269,10 +283,10 @@ def score(docs: DataFrame) -> DataFrame:
         customers[r.k] = r.n
     total, n_words = int(customers.sum()), words.count()
     states = train(words, customers, n_words)
-    known = words.select("h", "at").mapInArrow(_known(states), "h long, known binary")
+    known = words.select("h", "at").mapInArrow(_known(states), "h long, bytes binary, longs binary")
     asked = chunks.select("chunk", "hashes").mapInArrow(_asked, "h long, chunk long, i int")
-    told = asked.join(known, "h").select("chunk", "i", "known")
-    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_scored(states, total, n_words), SCORES)
+    told = asked.join(known, "h").select("chunk", "i", "bytes", "longs")
+    return chunks.drop("hashes").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_scored(states, total, n_words), SCORES)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
