@@ -36,6 +36,8 @@ SMALL = 40
 DEPTH = 3
 LOOSE = 0.6
 BLOCK = 512
+#: Ids of a task's forest, beyond which its edges are given and it starts anew.
+FOREST = 500_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,6 +89,43 @@ def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
+class _Forest:
+    """What a task has found connected; gives one edge for each id, to the least id it is connected with in this task."""
+
+    def __init__(self):
+        self.root: dict[int, int] = {}
+
+    def unite(self, a: int, b: int) -> None:
+        a, b = (_top(self.root, self.root.setdefault(x, x)) for x in (a, b))
+        self.root[max(a, b)] = min(a, b)
+
+    def edges(self, at_least: int = 0):
+        if len(self.root) > at_least:
+            yield _edges([(x, top) for x in self.root if (top := _top(self.root, x)) != x])
+            self.root = {}
+
+
+def _spanning(batches):
+    """Edges (a, b) of a task as a forest."""
+    forest = _Forest()
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            forest.unite(a, b)
+        yield from forest.edges(FOREST)
+    yield from forest.edges()
+
+
+def _blocks(rows: DataFrame, into: str, block: str) -> DataFrame:
+    """The sets of each path in blocks of about BLOCK: path, block, and the list of sets."""
+    sizes = rows.groupBy("path").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = rows.join(sizes, "path").withColumn(block, F.pmod(F.xxhash64("id"), F.col("blocks")))
+    return dealt.groupBy("path", block).agg(F.collect_list(F.struct("id", "sketch")).alias(into))
+
+
+def _sketches(sets: list[dict]) -> np.ndarray:
+    return np.frombuffer(b"".join(x["sketch"] for x in sets), np.uint32).reshape(-1, COORDINATES)
+
+
 def _with_pivot(batches):
     for batch in batches:
         near = (_matrix(batch.column("sketch")) == _matrix(batch.column("pivot_sketch"))).sum(axis=1) >= LOOSE * COORDINATES
@@ -112,26 +151,24 @@ def loose_edges(sets: DataFrame, threshold: float, runs: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column("id").take(pa.array(row))], names=["path", "id"])
 
     def small(batches):
+        forest = _Forest()
         for batch in batches:
-            rows = []
             for node in batch.column("node").to_pylist():
-                ids = np.array([x["id"] for x in node])
-                own = np.frombuffer(b"".join(x["sketch"] for x in node), np.uint32).reshape(-1, COORDINATES)
-                i, j = np.nonzero(np.triu(_alike(own, own), 1))
-                root = list(range(len(ids)))
-                for a, b in zip(i.tolist(), j.tolist()):
-                    a, b = _top(root, a), _top(root, b)
-                    root[max(a, b)] = min(a, b)
-                rows += [(int(ids[a]), int(ids[_top(root, a)])) for a in range(len(ids)) if root[a] != a]
-            yield _edges(rows)
+                own = _sketches(node)
+                for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(_alike(own, own), 1)))):
+                    forest.unite(node[i]["id"], node[j]["id"])
+            yield from forest.edges(FOREST)
+        yield from forest.edges()
 
     def rest(batches):
+        forest = _Forest()
         for batch in batches:
-            rows = []
-            for id_, own, others in zip(batch.column("id").to_pylist(), batch.column("sketch").to_pylist(), batch.column("others").to_pylist()):
-                near = _alike(np.frombuffer(own, np.uint32)[None, :], np.frombuffer(b"".join(x["sketch"] for x in others), np.uint32).reshape(-1, COORDINATES))[0]
-                rows += [(id_, x["id"]) for x, y in zip(others, near) if y and x["id"] != id_]
-            yield _edges(rows)
+            for mine, others in zip(batch.column("mine"), batch.column("others")):
+                mine, others = mine.as_py(), others.as_py()
+                for i, j in zip(*(x.tolist() for x in np.nonzero(_alike(_sketches(mine), _sketches(others))))):
+                    forest.unite(mine[i]["id"], others[j]["id"])
+            yield from forest.edges(FOREST)
+        yield from forest.edges()
 
     found = []
     nodes = sets.mapInArrow(start, "path long, id long")
@@ -147,15 +184,17 @@ def loose_edges(sets: DataFrame, threshold: float, runs: int) -> DataFrame:
         pivots = many.where("id = pivot").select("path", F.col("sketch").alias("pivot_sketch"))
         tried = many.join(pivots, "path").select("path", "id", "sketch", "pivot", "pivot_sketch").mapInArrow(_with_pivot, "path long, id long, sketch binary, pivot long, near boolean")
         tried = staged(tried, "tried")
-        found.append(tried.where("near and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+        found.append(tried.where("near and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).mapInArrow(_spanning, "a long, b long"))
         if level == DEPTH - 1:
-            others = tried.where("not near").groupBy("path", F.pmod(F.xxhash64("id"), F.lit(1024)).alias("block")).agg(F.collect_list(F.struct("id", "sketch")).alias("others")).select("path", "others")
-            found.append(tried.join(others, "path").select("id", "sketch", "others").mapInArrow(rest, "a long, b long"))
+            pairs = _blocks(tried, "mine", "own").join(_blocks(tried.where("not near"), "others", "other"), "path")
+            found.append(pairs.repartition("path", "own", "other").select("mine", "others").mapInArrow(rest, "a long, b long"))
         nodes = many.select("path", "sketch", "id").mapInArrow(descend, "path long, id long")
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
-    return out.distinct()
+    # the forests of many tasks overlap: all that one set is connected with hangs on the least of it, of which there are few
+    ends = out.groupBy("a").agg(F.collect_set("b").alias("to")).select("a", "to", F.array_min("to").alias("b"))
+    return ends.select(F.explode(F.array_append("to", F.col("a"))).alias("a"), "b").where("a <> b").distinct()
 
 
 def _counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:

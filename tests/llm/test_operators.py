@@ -52,6 +52,26 @@ def test_join_equals_brute_force(docs, none):
     assert op1_chosen_path.join(none).count() == 0
 
 
+def test_join_of_large_groups_equals_brute_force(spark, monkeypatch):
+    """Groups over a node's size, so that pivots, deeper levels and the comparison in blocks all take part."""
+    monkeypatch.setattr(op1_chosen_path, "BLOCK", 16)
+    rows = []
+    for group in range(2):
+        words = prose(100).split()
+        for i in range(90):
+            own = list(words)
+            for at in random.sample(range(100), i % 4):
+                own[at] = f"new{i}"
+            rows.append((len(rows), " ".join(own), "en", 1, 1))
+    sets = [frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) for w in (t.split() for _, t, *_ in rows)]
+    near = [[j for j, b in enumerate(sets) if i != j and len(a & b) >= 0.8 * len(a | b)] for i, a in enumerate(sets)]
+    first = list(range(len(rows)))
+    for _ in rows:
+        first = [min([first[i], *(first[j] for j in near[i])]) for i in range(len(rows))]
+    got = op1_chosen_path.join(spark.createDataFrame(rows, COLUMNS)).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == {i: (first[i], len(near[i])) for i in range(len(rows))}
+
+
 def test_pieces_are_the_librarys(tmp_path):
     odd = ["a  b\n\n c'll 12 ''s !'s\x85x\xa0\xa0y", "İstanbul ſ ß ǅ", "<|endoftext|> x", "\x1c\x1d a\tb", "日本 語"] + ["".join(random.choice("ab'sS \n\t!|.09é\xa0\x1c\x85İß") for _ in range(40)) for _ in range(300)]
     for name in PATTERNS:
