@@ -9,7 +9,8 @@ tasks and a sweep returns only these totals. Predictive probabilities are averag
 seats of large parties are taken in blocks of a sixteenth of those seated, with one Poisson draw each.
 
 Documents are read once into chunks of about ``CHUNK`` bytes, in which tokens are numbers into a list of the chunk's words. Counts go from
-chunks to a table of words, sharded by word; each chunk then asks for its words' counts and probabilities. Nothing of the vocabulary's
+chunks to a table of words, sharded by word; each chunk then asks for its words' counts and probabilities, all words of a
+bucket of hashes in one row. Buckets grow in number with the words asked for, and have each word of a chunk once. Nothing of the vocabulary's
 size is broadcast. Words are told apart by 64-bit hashes.
 
 Nulls count as empty texts, of one end token. Repeated rows count as often as they stand. With no training document, N and V are 0, base
@@ -38,6 +39,8 @@ BURN_IN = 2
 SAMPLES = 2
 INNER = 2
 CONTEXTS = 32
+#: Words that chunks ask for in one bucket of hashes, on average.
+ASKED = 1 << 18
 _START = CONTEXTS - 1
 _ENDING = b".,;:!?)\"'|*#$%&]}"
 
@@ -225,11 +228,57 @@ def _known(states: list[State]):
     return run
 
 
-def _asked(batches):
-    for batch in batches:
-        for chunk, raw in zip(batch.column("chunk").to_pylist(), batch.column("hashes").to_pylist()):
-            h = np.frombuffer(raw, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), chunk, np.int64)), pa.array(np.arange(len(h), dtype=np.int32))], names=["h", "chunk", "i"])
+def _pack(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of all items of runs of ``sizes`` items from ``starts`` on."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _asked(buckets: int):
+    """One row for each chunk and bucket of hashes: the chunk's words of the bucket, and the steps between their numbers."""
+
+    def run(batches):
+        for batch in batches:
+            for chunk, raw in zip(batch.column("chunk").to_pylist(), batch.column("hashes").to_pylist()):
+                h = np.frombuffer(raw, np.int64)
+                order = np.argsort(h % buckets, kind="stable")
+                present, starts = np.unique(h[order] % buckets, return_index=True)
+                numbers = np.split(order, starts[1:])
+                columns = [pa.array(present), pa.array(np.full(len(present), chunk, np.int64)), pa.array([h[i].tobytes() for i in numbers], pa.binary()), pa.array([_pack(np.diff(i, prepend=0)) for i in numbers], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "chunk", "hashes", "steps"])
+
+    return run
+
+
+def _answered(known: pa.Table, asked: pa.Table) -> pa.Table:
+    """What is known of each word that the chunks ask for in a bucket: the size of its record, 0 for words never trained on, then the records."""
+    h, flat, sizes = [], [], []
+    for column, kind in (("bytes", np.uint8), ("longs", "<i8")):
+        part = known.filter(known.column(column).is_valid())
+        blobs = part.column(column).to_pylist()
+        h.append(part.column("h").to_numpy())
+        flat.append(np.frombuffer(b"".join(blobs), kind).astype(np.int64))
+        sizes.append(np.array([len(b) for b in blobs], np.int64) // np.dtype(kind).itemsize)
+    h, flat, sizes = np.concatenate(h), np.concatenate(flat), np.concatenate(sizes)
+    starts, order = np.cumsum(sizes) - sizes, np.argsort(h)
+    ordered, answers = h[order], []
+    for raw in asked.column("hashes").to_pylist():
+        wanted = np.frombuffer(raw, np.int64)
+        at = np.searchsorted(ordered, wanted)
+        found = np.nonzero(at < len(h))[0]
+        found = found[ordered[at[found]] == wanted[found]]
+        word, each = order[at[found]], np.zeros(len(wanted), np.int64)
+        each[found] = sizes[word]
+        answers.append(_pack(np.concatenate([each, flat[_spread(starts[word], sizes[word])]])))
+    return pa.table({"chunk": asked.column("chunk"), "steps": asked.column("steps"), "answers": pa.array(answers, pa.binary())})
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -243,18 +292,14 @@ def _scored(states: list[State], total: int, n_words: int):
     def told(right: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each word of a chunk: the count, the probabilities above by sample, and the contexts' own shares."""
         count, top, own = np.zeros(size, np.int64), np.tile(unknown, (size, 1)), np.zeros((size, CONTEXTS), np.float32)
-        for column, kind in (("bytes", np.uint8), ("longs", "<i8")):
-            part = right.filter(right.column(column).is_valid())
-            if not part.num_rows:
-                continue
-            at, blobs = part.column("i").to_numpy(), part.column(column).to_pylist()
-            flat = np.frombuffer(b"".join(blobs), kind).astype(np.int64)
-            sizes = np.array([len(b) for b in blobs]) // np.dtype(kind).itemsize
+        for steps, answers in zip(right.column("steps").to_pylist(), right.column("answers").to_pylist()):
+            numbers, flat = np.cumsum(_unpack(steps)), _unpack(answers)
+            sizes, flat = flat[: len(numbers)], flat[len(numbers) :]
+            at, sizes = numbers[sizes > 0], sizes[sizes > 0]
             starts, each = np.cumsum(sizes) - sizes, (sizes - 2 * samples) // 3
             for s, state in enumerate(states):
                 top[at, s] = state.top(flat[starts + 2 * s], flat[starts + 2 * s + 1])
-            entry = np.repeat(starts + 2 * samples, each) + 3 * (np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each))
-            k, n, tables = flat[entry], flat[entry + 1], flat[entry + 2]
+            k, n, tables = flat[_spread(starts + 2 * samples, 3 * each)].reshape(-1, 3).T
             word = np.repeat(at, each)
             own[word, k] = (n - DISCOUNT * tables / samples) / (STRENGTH + states[0].customers[k])
             np.add.at(count, word, n)
@@ -292,8 +337,11 @@ def score(docs: DataFrame) -> DataFrame:
     total, n_words = int(customers.sum()), words.count()
     states = train(words, customers, n_words)
     known = words.select("h", "at").mapInArrow(_known(states), "h long, bytes binary, longs binary")
-    asked = chunks.select("chunk", "hashes").mapInArrow(_asked, "h long, chunk long, i int")
-    told = asked.join(known, "h").select("chunk", "i", "bytes", "longs")
+    n_asked = (chunks.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0) // 8
+    buckets = max(1, -(-n_asked // ASKED))
+    asked = chunks.select("chunk", "hashes").mapInArrow(_asked(buckets), "bucket long, chunk long, hashes binary, steps binary")
+    known = known.withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    told = known.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_answered, "chunk long, steps binary, answers binary")
     return chunks.drop("hashes").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_scored(states, total, n_words), SCORES)
 
 
