@@ -5,12 +5,16 @@ Each entry is a function of (spark, sf_dir) and, where SQL can express it, DuckD
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import catalogs, side_tables
+from ..operators import catalogs, mutations, side_tables
 from ..sources.catalog import CATALOG_SQL, PATHS_SQL, catalog, table
+from ..streaming import changes
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -437,3 +441,105 @@ def _(s, d):
 @_query("scrub_text")
 def _(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", names.scrubbed(F.col("text"), "/home/user").alias("text"))
+
+
+# --- dry runs and streams ---------------------------------------------------------------------------------------------------------------
+
+_PARTS_SQL = "WITH files AS (SELECT '/parts/' || lpad(p_partkey::VARCHAR, 8, '0') || '/' || string_split(p_name, ' ')[1] || '.txt' AS path, string_split(p_name, ' ')[1] AS stem FROM part)"
+
+
+def _part_files(s, d):
+    stem = F.split("p_name", " ")[0]
+    return table(s, d, "part").select(F.concat(F.lit("/parts/"), F.lpad(F.col("p_partkey").cast("string"), 8, "0"), F.lit("/"), stem, F.lit(".txt")).alias("path"), stem.alias("stem"))
+
+
+@_query("plan_transfer", f"""{_PARTS_SQL}, n AS (SELECT path, stem, row_number() OVER (PARTITION BY stem ORDER BY path) + CASE WHEN len(stem) = 5 THEN 1 ELSE 0 END AS n FROM files)
+  SELECT path, '/inbox/' || stem || CASE WHEN n = 1 THEN '' ELSE ' ' || n END || '.txt' AS target FROM n""")
+def _(s, d):
+    files = _part_files(s, d)
+    on_disk = files.where("length(stem) = 5").select(F.concat("stem", F.lit(".txt")).alias("name")).distinct()
+    return mutations.transfers(files, "/inbox", on_disk)
+
+
+@_query("zip_targets", f"{_PARTS_SQL} SELECT min(path) AS path, stem || '.txt' AS leaf FROM files GROUP BY stem")
+def _(s, d):
+    return _part_files(s, d).groupBy(mutations.leaf(F.col("path")).alias("leaf")).agg(F.min("path").alias("path"))
+
+
+@_query("tag_migration", f"""{_TAGS_SQL}, ops AS (SELECT DISTINCT 'doc:' || doc_id AS path, CASE doc_id % 5 WHEN 1 THEN 'move' WHEN 2 THEN 'copy' WHEN 3 THEN 'delete' END AS op, 'new:' || doc_id AS target FROM labels WHERE doc_id % 5 IN (1, 2, 3))
+  SELECT t.path, tag FROM tags t LEFT JOIN ops o ON t.path = o.path WHERE op IS NULL OR op = 'copy' UNION SELECT target, tag FROM tags t JOIN ops o ON t.path = o.path WHERE op IN ('move', 'copy')""")
+def _(s, d):
+    id_ = F.col("doc_id")
+    op = F.when(id_ % 5 == 1, "move").when(id_ % 5 == 2, "copy").when(id_ % 5 == 3, "delete")
+    ops = table(s, d, "labels").select(op.alias("op"), F.concat(F.lit("doc:"), id_).alias("source"), F.concat(F.lit("new:"), id_).alias("target")).where("op is not null").distinct()
+    return mutations.migrated_tags(_tags(s, d), ops)
+
+
+@_query("prefix_remap", f"{_PATHS} SELECT id, CASE WHEN path = '/EUROPE' OR starts_with(path, '/EUROPE/') THEN '/ASIA/old' || substr(path, 8) ELSE path END AS path FROM paths WHERE is_dir")
+def _(s, d):
+    return mutations.remapped(catalogs.with_paths(catalog(s, d)).where("is_dir").select("id", "path"), "/EUROPE", "/ASIA/old")
+
+
+_SCOPES_SQL = f"{_PATHS}, scopes AS (SELECT path FROM paths WHERE is_dir AND (id % 7 = 0 OR id = 2))"
+
+
+def _scopes(s, d):
+    return catalogs.with_paths(catalog(s, d)).where("is_dir and (id % 7 = 0 or id = 2)").select("path")
+
+
+@_query("scopes_absorbed", f"{_SCOPES_SQL} SELECT DISTINCT path FROM scopes a WHERE NOT EXISTS (SELECT 1 FROM scopes b WHERE starts_with(a.path, b.path || '/'))")
+def _(s, d):
+    return mutations.absorbed(_scopes(s, d))
+
+
+@_query("scopes_widened", f"""{_PATHS}, wanted AS (SELECT path || CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN '/gone' ELSE '/gone/too' END AS path, path AS scope FROM paths WHERE is_dir)
+  SELECT path, scope FROM wanted""")
+def _(s, d):
+    present = catalogs.with_paths(catalog(s, d)).where("is_dir")
+    wanted = present.select(F.concat("path", F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, "/gone").otherwise("/gone/too")).alias("path"))
+    return mutations.widened(wanted, present.select("path"))
+
+
+@_query("undo_order", "SELECT -event_id AS position, CASE event_id % 4 WHEN 0 THEN 'move' WHEN 1 THEN 'delete' WHEN 2 THEN 'restore' ELSE 'delete' END AS op, CASE WHEN event_id % 4 = 2 THEN 's' ELSE 't' END || event_id AS source, CASE WHEN event_id % 4 = 0 THEN 's' || event_id END AS target FROM events")
+def _(s, d):
+    n = F.col("event_id")
+    op = F.when(n % 4 == 0, "move").when(n % 4 == 1, "copy").when(n % 4 == 2, "delete").otherwise("create")
+    source = F.when(n % 4 != 3, F.concat(F.lit("s"), n))
+    return mutations.undone(table(s, d, "events").select(n.alias("position"), op.alias("op"), source.alias("source"), F.when(n % 4 != 2, F.concat(F.lit("t"), n)).alias("target")))
+
+
+@_query("identity_mismatches", f"{_LEVELS_SQL} SELECT id FROM catalog a JOIN live b USING (id) WHERE a.name <> b.name OR a.size IS DISTINCT FROM b.size")
+def _(s, d):
+    then, now = (x.select("id", F.struct("name", "size").alias(c)) for x, c in ((catalog(s, d), "then"), (catalogs.live(_levels(s, d)), "now")))
+    return then.join(now, "id").where(~F.col("then.name").eqNullSafe(F.col("now.name")) | ~F.col("then.size").eqNullSafe(F.col("now.size"))).select("id")
+
+
+@_query("weekdays", "SELECT dayofweek(o_orderdate)::INT AS weekday, count(*) AS n FROM orders GROUP BY 1")
+def _(s, d):
+    return table(s, d, "orders").groupBy((F.dayofweek("o_orderdate") - 1).alias("weekday")).agg(F.count("*").alias("n"))
+
+
+@_query("grouped_sizes", f"{_CATALOG} SELECT id, format('{{:,}}', size) AS label FROM catalog WHERE size IS NOT NULL")
+def _(s, d):
+    return catalog(s, d).where("size is not null").select("id", F.format_number("size", 0).alias("label"))
+
+
+@_query("log_missing", "SELECT user_id, event_id AS sequence, event_id - prior - 1 AS missing FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prior FROM events) WHERE event_id - prior > 1")
+def _(s, d):
+    return changes.gaps(table(s, d, "events").withColumnRenamed("event_id", "sequence"), "user_id")
+
+
+@_query("stream_ingest", f"{_LEVELS_SQL} SELECT id, name, size FROM live")
+def _(s, d):
+    """The changes above level 0 go through a stream into levels, and the catalog is read with them."""
+    root = s.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="stratalog-")
+    root = f"{root}/stratalog/ingest-{uuid.uuid4().hex}"
+    log = _levels(s, d).where("level > 0").withColumn("sequence", F.col("level").cast("long")).drop("level")
+    log.write.parquet(f"{root}/log")
+    stream = s.readStream.schema(log.schema).option("maxFilesPerTrigger", 64).parquet(f"{root}/log")
+    changes.ingest(stream, f"{root}/levels", f"{root}/state").awaitTermination()
+    return changes.current(s, catalog(s, d), f"{root}/levels").select("id", "name", "size")

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalog.functions import names
-from stratalog.operators import catalogs, side_tables
+from stratalog.operators import catalogs, mutations, side_tables
 from stratalog.plans import registry
+from stratalog.streaming import changes
 
 DATA = "/root/testdata/sf0.001"
 
@@ -77,3 +78,41 @@ def test_no_required_tags_match_nothing(spark):
     tags = spark.createDataFrame([("a", "x"), ("a", "Y"), ("b", "x")], "path string, tag string")
     assert side_tables.with_all_tags(tags, []).count() == 0
     assert [r.path for r in side_tables.with_all_tags(tags, ["X", "y"]).collect()] == ["a"]
+
+
+def test_free_names(spark):
+    files = spark.createDataFrame([("/a/x.txt",), ("/b/x.txt",), ("/c/x 2.txt",), ("/d/.rc",), ("/in/x.txt",), ("/in",)], "path string")
+    disk = spark.createDataFrame([("x 3.txt",), (".rc",)], "name string")
+    got = {p: {r.path: r.target for r in mutations.transfers(files, "/in/", disk, p).collect()} for p in ("keep_both", "skip", "replace")}
+    assert got["keep_both"] == {"/a/x.txt": "/in/x.txt", "/b/x.txt": "/in/x 2.txt", "/c/x 2.txt": "/in/x 2 2.txt", "/d/.rc": "/in/.rc 2"}
+    assert got["skip"] == {k: v for k, v in got["keep_both"].items() if k != "/d/.rc"}
+    assert got["replace"]["/d/.rc"] == "/in/.rc"
+    with pytest.raises(ValueError):
+        mutations.transfers(files, "/in", disk, "guess")
+
+
+def test_remapping_replaces_what_was_there(spark):
+    entries = spark.createDataFrame([("/a", 1), ("/a/b", 2), ("/ab", 3), ("/c/b", 4)], "path string, icon int")
+    assert sorted(map(tuple, mutations.remapped(entries, "/a", "/c").collect())) == [("/ab", 3), ("/c", 1), ("/c/b", 2)]
+    assert sorted(map(tuple, mutations.remapped(entries, "/a", "/c", copy=True).collect())) == [("/a", 1), ("/a/b", 2), ("/ab", 3), ("/c", 1), ("/c/b", 2)]
+
+
+def test_streamed_batches_can_run_again(spark, tmp_path):
+    schema = "sequence long, op string, id long, parent long, root long, name string, is_dir boolean, size long, mtime long"
+    base = spark.createDataFrame([(1, 0, 1, "r", True, None, None), (2, 1, 1, "f", False, 1, 1), (3, 1, 1, "g", False, 1, 1)], schema.split("op string, ")[1])
+    for n, rows_ in enumerate([[(1, "upsert", 2, 1, 1, "old", False, 2, 1), (2, "upsert", 2, 1, 1, "new", False, 3, 1)], [(3, "delete", 3, 1, 1, "g", False, None, None)]]):
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "log"))
+        for state in ("state", f"again{n}"):  # a fresh state reads all from the first on, as batch 0
+            changes.ingest(stream, str(tmp_path / "levels"), str(tmp_path / state)).awaitTermination()
+    assert sorted((r.id, r.name) for r in changes.current(spark, base, str(tmp_path / "levels")).collect()) == [(1, "r"), (2, "new")]
+
+
+def test_bursts_and_first_sightings_of_a_stream(spark, tmp_path):
+    rows_ = [("a", "2024-01-01 00:00:00", "1"), ("a", "2024-01-01 00:00:01", "1"), ("a", "2024-01-01 00:01:00", "2")]
+    seen = spark.createDataFrame(rows_, "k string, t string, operation_id string").withColumn("t", F.to_timestamp("t"))
+    seen.write.parquet(str(tmp_path / "in"))
+    assert sorted(r.n for r in changes.bursts(seen, "k", "t", "5 seconds", "1 minute").collect()) == [1, 2]
+    stream = spark.readStream.schema(seen.schema).parquet(str(tmp_path / "in"))
+    changes.first_sightings(stream, "t", "1 hour").writeStream.format("memory").queryName("firsts").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.operation_id for r in spark.table("firsts").collect()) == ["1", "2"]
