@@ -1,8 +1,8 @@
 """License scans with a positional index of rare words.
 
 The index holds fixed templates of license texts: for each of their words, the templates and positions it stands at. A document's words that
-any template has are its hits. Of these, words in fewer than ``RARE`` of all documents are looked up, the ``LOOKED_UP`` with the highest inverse
-document frequency; document frequencies are counted over the whole corpus. A hit at word p whose posting is (template, k) votes for the
+any template has are its hits. Of these, the ``LOOKED_UP`` words with the highest inverse document frequency are looked up; document frequencies
+are counted over the whole corpus, and words that nearly all documents have keep the weight ``FLOOR``. A hit at word p whose posting is (template, k) votes for the
 template starting at word p - k, with the word's inverse document frequency. A template's label is given where the votes for one start
 reach ``LEAST`` of the sum over the template's LOOKED_UP rarest words, and a key phrase of the template stands word by word where that start puts it.
 The score is the best such share.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import let, staged, table
 
-RARE = 0.1
+FLOOR = 0.01
 LOOKED_UP = 12
 LEAST = 0.5
 #: Base phrases and their labels.
@@ -82,7 +82,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = staged(hits(docs), "hits")
     total = rows.count()
     seen = rows.select(F.explode(F.array_distinct(F.col("hits.w"))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()  # at most the templates' words
-    idf = {r.w: math.log((total + 1) / (r.n + 1)) for r in seen if r.n <= RARE * total}
+    idf = {r.w: max(FLOOR, math.log((total + 1) / (r.n + 1))) for r in seen}
 
     def looked_up(at: Column) -> Column:
         """The hits of the document's rarest words, with their weights."""

@@ -146,6 +146,17 @@ def test_licenses(spark, none):
     assert op5_licenses.scan(none).count() == 0
 
 
+def test_licenses_that_many_documents_carry(spark):
+    """A notice in a third of all rows, and tables of few rows."""
+    for label in ("bsd", "isc", "mpl", "cc-by", "unlicense"):
+        notice = op5_licenses.TEMPLATES[label][0][0]
+        for n in (1, 3, 60):
+            texts = [f"{prose(30)} {notice} {prose(30)}" if i % 3 == 0 else prose(60) for i in range(n)]
+            got = {r.doc_id: r for r in op5_licenses.scan(spark.createDataFrame([(i, t, "en", 1, 1) for i, t in enumerate(texts)], COLUMNS)).collect()}
+            assert {i: r.labels for i, r in got.items()} == {i: label if i % 3 == 0 else "" for i in range(n)}
+            assert all((r.score >= 0.5) == (i % 3 == 0) for i, r in got.items())
+
+
 def test_passages_and_their_cut(docs, none):
     found = op6_passages.passages(docs)
     got = {(r.doc_id, r.source_doc_id): r for r in found.collect()}
