@@ -1,11 +1,11 @@
 """License scans with a positional index of rare words.
 
 The index holds fixed templates of license texts: for each of their words, the templates and positions it stands at. A document's words that
-any template has are its hits. Of these, the ``LOOKED_UP`` words with the highest inverse document frequency are looked up; document frequencies
-are counted over the whole corpus, and words that nearly all documents have keep the weight ``FLOOR``. A hit at word p whose posting is (template, k) votes for the
-template starting at word p - k, with the word's inverse document frequency. A template's label is given where the votes for one start
-reach ``LEAST`` of the sum over the template's LOOKED_UP rarest words, and a key phrase of the template stands word by word where that start puts it.
-The score is the best such share.
+any template has are its hits. A template's label needs a key phrase of the template, word by word: each place where one stands, found from its
+rarest word, sets a start of the template, and every word of the template that the document has where that start puts it votes with its inverse
+document frequency. The label is given where the votes for one start reach ``LEAST`` of the sum over the template's words. Starts without a key
+phrase in place can't give a label, so none is left out. Document frequencies are counted over the whole corpus; words that nearly all documents
+have keep the weight ``FLOOR``. The score is the best such share.
 
 Base labels come from three plain phrases anywhere in the text and always stay. Nulls count as empty texts, without words or labels. Repeated
 rows are scanned each on its own, though the frequencies count both; an empty table gives no rows; other columns are ignored.
@@ -14,6 +14,8 @@ rows are scanned each on its own, though the frequencies count both; an empty ta
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +23,6 @@ from pyspark.sql import functions as F
 from .common import let, staged, table
 
 FLOOR = 0.01
-LOOKED_UP = 12
 LEAST = 0.5
 #: Base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -84,32 +85,31 @@ def scan(docs: DataFrame) -> DataFrame:
     seen = rows.select(F.explode(F.array_distinct(F.col("hits.w"))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()  # at most the templates' words
     idf = {r.w: max(FLOOR, math.log((total + 1) / (r.n + 1))) for r in seen}
 
-    def looked_up(at: Column) -> Column:
-        """The hits of the document's rarest words, with their weights."""
-        weight = F.create_map(*[F.lit(x) for kv in sorted(idf.items()) for x in kv])
-        rare = F.filter(at, lambda h: h["w"].isin(sorted(idf)))
-        best = F.slice(F.sort_array(F.transform(F.array_distinct(F.transform(rare, lambda h: h["w"])), lambda w: F.struct(weight[w].alias("i"), w.alias("w"))), asc=False), 1, LOOKED_UP)
-        return let(F.transform(best, lambda b: b["w"]), lambda b: F.transform(F.filter(rare, lambda h: F.array_contains(b, h["w"])), lambda h: F.struct(h["w"].alias("w"), h["p"].alias("p"), weight[h["w"]].alias("i"))))
-
-    def share(at: Column, rare: Column, text: str, keys: tuple[str, ...]) -> Column:
+    def share(at: Column, text: str, keys: tuple[str, ...]) -> Column:
         """The best share of the template's weights at one start that has a key phrase in place."""
         words = text.split()
-        weighed = [(k, w) for k, w in enumerate(words) if w in idf]
-        whole = sum(sorted((idf[w] for _, w in weighed), reverse=True)[:LOOKED_UP])  # as many as are looked up
-        if not whole:
+        whole = reduce(add, [idf[w] for w in words if w in idf], 0.0)  # in the order of the votes, so that a whole notice has 1
+        phrases = [(k, p.split()) for p in keys for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
+        phrases = [(k, p) for k, p in phrases if all(w in idf for w in p)]
+        if not phrases:
             return F.lit(0.0)
-        postings = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).alias("k")) for k, w in weighed])
-        votes = F.flatten(F.transform(rare, lambda h: F.transform(F.filter(postings, lambda x: x["w"] == h["w"]), lambda x: F.struct((h["p"] - x["k"]).alias("s"), h["i"].alias("i")))))
-        key = [(k, p.split()) for p in keys for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
 
-        def at_start(v: Column, s: Column) -> Column:
-            got = F.aggregate(F.filter(v, lambda x: x["s"] == s), F.lit(0.0), lambda a, x: a + x["i"]) / whole
-            stands = F.lit(False)
-            for k, p in key:
-                stands = stands | _stands(at, p, s + k)
-            return let(got, lambda g: F.when((g >= LEAST) & stands, F.least(g, F.lit(1.0))).otherwise(0.0))
+        def at_start(near: Column, start: Column) -> Column:
+            got = F.lit(0.0)
+            for k, w in enumerate(words):
+                if w in idf:
+                    got = got + F.when(_stands(near, [w], start + k), idf[w]).otherwise(0.0)
+            return let(got / whole, lambda g: F.when(g >= LEAST, F.least(g, F.lit(1.0))).otherwise(0.0))
+
+        def best(k: int, phrase: list[str]) -> Column:
+            rarest = max(range(len(phrase)), key=lambda i: idf[phrase[i]])
+            marks = F.filter(F.transform(at, lambda h, i: F.struct(h["w"].alias("w"), h["p"].alias("p"), i.alias("i"))), lambda m: m["w"] == phrase[rarest])
+            # the template's other words are among the hits next to the mark, which are ascending and one a place
+            near = lambda m: F.slice(at, F.greatest(m["i"] + 1 - len(words), F.lit(1)), F.lit(2 * len(words)))
+            found = lambda m: let(near(m), lambda x: F.when(_stands(x, phrase, m["p"] - rarest), at_start(x, m["p"] - rarest - k)).otherwise(0.0))
+            return F.coalesce(F.array_max(F.transform(marks, found)), F.lit(0.0))
 
-        return let(votes, lambda v: F.coalesce(F.array_max(F.transform(F.array_distinct(F.transform(v, lambda x: x["s"])), lambda s: at_start(v, s))), F.lit(0.0)))
+        return F.greatest(*[best(*x) for x in phrases], F.lit(0.0))
 
     def places(at: Column, words: list[str]) -> Column:
         return F.transform(F.filter(at, lambda h: (h["w"] == words[0]) & _stands(at, words, h["p"])), lambda h: h["p"])
@@ -117,9 +117,8 @@ def scan(docs: DataFrame) -> DataFrame:
     def judged(at: Column) -> Column:
         starts = {p: places(at, p.split()) for p in BASE}
         labels = sorted(TEMPLATES)
-        scores = lambda rare: F.array(*[F.greatest(*[share(at, rare, *t) for t in TEMPLATES[x]], F.lit(0.0)) for x in labels])
         none = F.array(*[F.lit(0.0)] * len(labels))
-        by_label = F.when(F.size(at) == 0, none).otherwise(let(looked_up(at), lambda r: F.when(F.size(r) == 0, none).otherwise(scores(r)))) if idf else none
+        by_label = F.when(F.size(at) == 0, none).otherwise(F.array(*[F.greatest(*[share(at, *t) for t in TEMPLATES[x]], F.lit(0.0)) for x in labels]))
         return F.struct(
             F.concat(*starts.values()).alias("places"),
             F.array_compact(F.array(*[F.when(F.size(v) > 0, F.lit(BASE[p])) for p, v in starts.items()])).alias("base"),

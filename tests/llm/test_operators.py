@@ -157,6 +157,14 @@ def test_licenses_that_many_documents_carry(spark):
             assert all((r.score >= 0.5) == (i % 3 == 0) for i, r in got.items())
 
 
+def test_licenses_of_one_text_with_several_notices(spark):
+    notices = {x: op5_licenses.TEMPLATES[x][-1][0] for x in ("mit", "bsd", "mpl", "unlicense")}
+    texts = [prose(60) for _ in range(40)] + [f" {prose(20)} ".join(notices.values()), notices["mit"] + " " + notices["bsd"], *notices.values(), " ".join(notices["bsd"].split()[:9] + ["other"] * 12)]
+    got = {r.doc_id: r for r in op5_licenses.scan(spark.createDataFrame([(i, t, "en", 1, 1) for i, t in enumerate(texts)], COLUMNS)).collect()}
+    assert (got[40].labels, got[41].labels) == ("bsd,mit,mpl,unlicense", "bsd,mit") and all(got[i].score == 1 for i in range(40, 46))
+    assert [got[42 + i].labels for i in range(4)] == list(notices) and got[46].labels == "" and got[0].labels == ""
+
+
 def test_passages_and_their_cut(docs, none):
     found = op6_passages.passages(docs)
     got = {(r.doc_id, r.source_doc_id): r for r in found.collect()}
