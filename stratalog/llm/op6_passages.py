@@ -1,12 +1,16 @@
 """Passages that repeat across documents, exactly or nearly, by chains of shared seeds.
 
-Seeds are the minimizers of runs of ``K`` words: any stretch of K + WINDOW - 1 equal words has one in common. Each seed found in several
-documents links its places to its first one, that of the least doc_id, so that a passage in n documents makes n links, not n * n. The links of a
+Seeds are the minimizers of runs of ``K`` words: any stretch of K + WINDOW - 1 equal words has one in common. Each place of a seed is linked to the
+least doc_id that has the seed and to the last one before its own, so that a passage in n documents makes 2 n links, not n * n. The links of a
 document to one earlier document are chained: increasing places in both, a gain for each seed, a cost for each word skipped on either side,
 the best chain before each link looked up in a Fenwick tree of prefix maxima. Chains of two seeds or more are aligned word by word: gaps between
 seeds, then outwards while the score stays within ``DROP`` of its best. Passages of ``LEAST`` words or more, of which at least ``IDENTITY`` agree,
 are returned, each with the earlier document that has it.
 
+A passage whose parts stand in several other documents may have links to none that has it whole. Where a document's seeds that earlier ones have
+could hold LEAST equal words outside its passages so far, all documents with these seeds give the hashes of their runs of LEAST words there, and
+each run is linked to the first document that has it whole. So exact repeats of LEAST words are found wherever else their parts stand.
+
 Words are lower-cased. Nulls and texts of fewer than K words have no seeds. Rows that repeat a doc_id count as one document, that with the
 least text. An empty table gives no rows; other columns are ignored.
 """
@@ -18,7 +22,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import release, staged, table
@@ -120,6 +124,35 @@ def aligned(chain: list[tuple[int, int]], here: np.ndarray, there: np.ndarray) -
     return p - left, n, a - left, m, min(1.0, agree / max(n, m))
 
 
+def _runs(places: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """First and last start of the stretches of ``least`` words that can be equal, given the ascending places of shared seeds: such a stretch has seeds
+    among its first WINDOW places and its last, and no step between them is over WINDOW."""
+    cuts = np.nonzero(np.diff(places) > WINDOW)[0] + 1
+    ends = [(int(x[0]) - WINDOW + 1, int(x[-1]) - (least - K - WINDOW + 1)) for x in np.split(places, cuts) if len(x)]
+    return [(max(0, a), b) for a, b in ends if b >= max(0, a)]
+
+
+def _uncovered(places: np.ndarray, spans: list[tuple[int, int]], least: int) -> np.ndarray:
+    """Which of the seeds at these places, ascending, lie in a stretch of ``least`` words that can be equal and is in no one span (start, length)."""
+    out = np.zeros(len(places), bool)
+    for a, b in _runs(places, least):
+        open_ = np.ones(b - a + 1, bool)
+        for start, length in spans:
+            open_[max(0, start - a) : max(0, start + length - least - a + 1)] = False
+        for s in np.nonzero(open_)[0] + a:
+            out[np.searchsorted(places, s) : np.searchsorted(places, s + least - K, "right")] = True
+    return out
+
+
+def _stretches(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` words, in one pass."""
+    base = 0x9E3779B97F4A7C15
+    up = np.cumprod(np.full(len(words), base, np.uint64))
+    down = np.cumprod(np.full(len(words), pow(base, -1, 1 << 64), np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up)])
+    return mixed((sums[n:] - sums[:-n]) * down[: len(words) - n + 1])
+
+
 def passages(docs: DataFrame, least: int = LEAST, identity: float = IDENTITY) -> DataFrame:
     """One row for each passage of a document that an earlier document has."""
     spark = docs.sparkSession
@@ -154,19 +187,72 @@ def passages(docs: DataFrame, least: int = LEAST, identity: float = IDENTITY) ->
             kinds = [pa.int64()] * 6 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["doc_id", "start", "length", "source_doc_id", "source_start", "source_length", "identity"])
 
-    seeds = staged(docs.mapInArrow(find, "h long, doc_id long, p int"), "seeds")
-    first = seeds.groupBy("h").agg(F.min("doc_id").alias("other"), F.max("doc_id").alias("last")).where("other < last").select("h", "other")
-    shared = staged(seeds.join(first, "h"), "shared")
+    def rest(batches):
+        for batch in batches:
+            out = [np.zeros(0, np.int64)]
+            for flat, starts, lengths in zip(*(batch.column(c).to_pylist() for c in ("seeds", "starts", "lengths"))):
+                seeds = sorted((x["p"], x["h"]) for x in flat)
+                at, h = np.array([x[0] for x in seeds], np.int64), np.array([x[1] for x in seeds], np.int64)
+                out.append(h[_uncovered(at, list(zip(starts or [], lengths or [])), least)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)))], names=["h"])
+
+    def whole(batches):
+        for batch in batches:
+            rows = [(np.zeros(0, np.int64),) * 3]
+            for doc, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "places"))):
+                words = word_hashes(text)
+                if len(words) >= least:
+                    all_ = _stretches(words, least)
+                    at = np.unique(np.concatenate([np.zeros(0, np.int64), *[np.arange(a, min(b + 1, len(all_))) for a, b in _runs(np.sort(np.array(places, np.int64)), least)]]))
+                    rows.append((all_[at].view(np.int64), np.full(len(at), doc, np.int64), at))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[i] for r in rows])) for i in range(3)], names=["g", "doc_id", "p"])
+
+    def joined(batches):
+        """Chains of the first and last K words of each stretch that is whole in one other document."""
+        for batch in batches:
+            rows = []
+            for doc, other, links in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "other", "links"))):
+                at = sorted((x["a"] - x["p"], x["p"]) for x in links)
+                i = 0
+                for j in range(1, len(at) + 1):
+                    if j == len(at) or at[j] != (at[j - 1][0], at[j - 1][1] + 1):
+                        (shift, p), q = at[i], at[j - 1][1] + least - K
+                        rows.append((doc, other, [p, p + shift, q, q + shift]))
+                        i = j
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32())))], names=["doc_id", "other", "chain"])
+
+    def aligned_(found: DataFrame) -> DataFrame:
+        needed = found.select("doc_id").union(found.select("other")).distinct()
+        one = docs.join(needed, "doc_id").mapInArrow(hashed, "doc_id long, words binary").groupBy("doc_id").agg(F.min("words").alias("words"))
+        one = staged(one, "words")
+        both = found.join(one, "doc_id").join(one.select(F.col("doc_id").alias("other"), F.col("words").alias("other_words")), "other")
+        return both.select("doc_id", "other", "chain", "words", "other_words").mapInArrow(placed, PASSAGES)
+
+    by_doc = Window.partitionBy("h").orderBy("doc_id")
+    all_, earlier = by_doc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), by_doc.rangeBetween(Window.unboundedPreceding, -1)
+    seeds = docs.where("doc_id is not null").mapInArrow(find, "h long, doc_id long, p int")
+    place = lambda w: F.max(F.struct(F.col("doc_id"), (-F.col("p")).alias("p"))).over(w)
+    linked = seeds.select("*", F.min(F.struct("doc_id", "p")).over(all_).alias("f"), F.max("doc_id").over(all_).alias("last"), place(earlier).alias("b")).where("f.doc_id < last")
+    shared = staged(linked.select("h", "doc_id", "p", F.col("f.doc_id").alias("first"), F.col("f.p").alias("a"), F.col("b.doc_id").alias("before"), (-F.col("b.p")).alias("c")), "shared")
     release(spark)
-    anchors = shared.where("doc_id = other").groupBy("h").agg(F.min("p").alias("a"))
-    links = shared.where("doc_id > other").join(anchors, "h").groupBy("doc_id", "other").agg(F.collect_list(F.struct("p", "a")).alias("links")).where(F.size("links") > 1)
+    ends = F.when(F.col("first") == F.col("before"), F.array(F.struct(F.col("first").alias("other"), "a"))).otherwise(F.array(F.struct(F.col("first").alias("other"), "a"), F.struct(F.col("before").alias("other"), F.col("c").alias("a"))))
+    links = shared.where("doc_id > first").select("doc_id", "p", F.explode(ends).alias("e")).select("doc_id", "p", "e.*").groupBy("doc_id", "other").agg(F.collect_list(F.struct("p", "a")).alias("links")).where(F.size("links") > 1)
     found = staged(links.mapInArrow(chained, "doc_id long, other long, chain array<int>"), "chains")
     release(spark)
-    needed = found.select("doc_id").union(found.select("other")).distinct()
-    one = docs.join(needed, "doc_id").mapInArrow(hashed, "doc_id long, words binary").groupBy("doc_id").agg(F.min("words").alias("words"))
-    one = staged(one, "words")
-    both = found.join(one, "doc_id").join(one.select(F.col("doc_id").alias("other"), F.col("words").alias("other_words")), "other")
-    return both.select("doc_id", "other", "chain", "words", "other_words").mapInArrow(placed, PASSAGES).distinct()
+    out = staged(aligned_(found).distinct(), "passages")
+    release(spark)
+    if least < K + WINDOW:
+        return out
+    spans = out.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("length").alias("lengths"))
+    left = shared.where("doc_id > first").groupBy("doc_id").agg(F.collect_list(F.struct("h", "p")).alias("seeds")).where(F.size("seeds") > 1)
+    left = staged(left.join(spans, "doc_id", "left").select("seeds", "starts", "lengths").mapInArrow(rest, "h long").distinct(), "rest")
+    places = shared.join(left, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("p").alias("places")).where(F.size("places") > 1)
+    runs = staged(docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(whole, "g long, doc_id long, p long"), "runs")
+    firsts = runs.groupBy("g").agg(F.min(F.struct(F.col("doc_id").alias("other"), F.col("p").alias("a"))).alias("f"), F.max("doc_id").alias("last")).where("f.other < last").select("g", "f.*")
+    links = runs.join(firsts, "g").where("doc_id > other").groupBy("doc_id", "other").agg(F.collect_list(F.struct("p", "a")).alias("links"))
+    more = staged(links.mapInArrow(joined, "doc_id long, other long, chain array<int>"), "more")
+    release(spark)
+    return out.union(aligned_(more)).distinct()
 
 
 _WORD = re.compile(r"\S+")

@@ -176,6 +176,21 @@ def test_passages_and_their_cut(docs, none):
     assert op6_passages.passages(none).count() == 0
 
 
+def test_passages_whose_parts_stand_elsewhere(spark):
+    """A passage of documents 3 and 4 of which earlier and later documents have parts; it is whole in document 3 only."""
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    for between in (False, True):
+        rows, want = [], set()
+        for case in range(15):
+            at, passage = case * 10, words(60)
+            texts = {1: passage[:30], 2: passage[30:], 3: passage, 9: passage} | ({5: passage[:30], 6: passage[30:]} if between else {})
+            rows += [(at + i, " ".join(words(40) + t + words(40)), "en", 1, 1) for i, t in texts.items()]
+            want.add((at + 9, at + 3, 40, 60))
+        got = op6_passages.passages(spark.createDataFrame(rows, COLUMNS)).collect()
+        assert {(r.doc_id, r.source_doc_id, r.start, r.length) for r in got} == want and len(got) == 15
+
+
 def test_chain_skips_what_is_out_of_order():
     places = [(0, 100), (10, 110), (15, 5), (20, 120), (30, 131)]
     assert op6_passages.chains(places)[0] == [(0, 100), (10, 110), (20, 120), (30, 131)]
