@@ -28,8 +28,11 @@ from pyspark.sql import functions as F
 from .common import release, staged, table
 from .words import grams, mixed, word_hashes
 
-K = 6
-WINDOW = 16
+#: With random substitutions, 97 % of passages of 50 words at IDENTITY keep two seeds.
+K = 4
+WINDOW = 6
+#: What a seed adds to a chain; two seeds at most 60 words apart, so at any distance in a passage of LEAST words, make one.
+GAIN = 6
 LEAST = 50
 IDENTITY = 0.8
 SKIP = 0.05
@@ -79,7 +82,7 @@ def chains(places: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
                 best = tree[r]
             r -= r & -r
         cost = best[0] - SKIP * (p + a)
-        gain.append(K + max(0.0, cost))
+        gain.append(GAIN + max(0.0, cost))
         before.append(best[1] if best[1] >= 0 and cost > 0 else -1)
         waiting.append(i)
     used = [False] * len(places)
@@ -158,6 +161,8 @@ def passages(docs: DataFrame, least: int = LEAST, identity: float = IDENTITY) ->
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
+    kept = pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32()))  # of a pair of documents all chains, so that texts are joined once
+
     def find(batches):
         for batch in batches:
             found = [(doc, *minimizers(word_hashes(text.as_py()))) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1))]
@@ -174,16 +179,18 @@ def passages(docs: DataFrame, least: int = LEAST, identity: float = IDENTITY) ->
         for batch in batches:
             rows = []
             for doc, other, links in zip(batch.column("doc_id").to_pylist(), batch.column("other").to_pylist(), batch.column("links").to_pylist()):
-                rows += [(doc, other, [x for pair in c for x in pair]) for c in chains([(x["p"], x["a"]) for x in links])]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32())))], names=["doc_id", "other", "chain"])
+                rows += [(doc, other, [[x for pair in c for x in pair] for c in chains([(x["p"], x["a"]) for x in links])])]
+            rows = [r for r in rows if r[2]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kept)], names=["doc_id", "other", "chains"])
 
     def placed(batches):
         for batch in batches:
             rows = []
-            for doc, other, flat, here, there in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "other", "chain", "words", "other_words"))):
-                start, n, at, m, share = aligned(list(zip(flat[::2], flat[1::2])), np.frombuffer(here, np.uint32), np.frombuffer(there, np.uint32))
-                if n >= least and share >= identity:
-                    rows.append((doc, start, n, other, at, m, share))
+            for doc, other, flats, here, there in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "other", "chains", "words", "other_words"))):
+                for flat in flats:
+                    start, n, at, m, share = aligned(list(zip(flat[::2], flat[1::2])), np.frombuffer(here, np.uint32), np.frombuffer(there, np.uint32))
+                    if n >= least and share >= identity:
+                        rows.append((doc, start, n, other, at, m, share))
             kinds = [pa.int64()] * 6 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["doc_id", "start", "length", "source_doc_id", "source_start", "source_length", "identity"])
 
@@ -213,20 +220,21 @@ def passages(docs: DataFrame, least: int = LEAST, identity: float = IDENTITY) ->
             rows = []
             for doc, other, links in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "other", "links"))):
                 at = sorted((x["a"] - x["p"], x["p"]) for x in links)
-                i = 0
+                i, flats = 0, []
                 for j in range(1, len(at) + 1):
                     if j == len(at) or at[j] != (at[j - 1][0], at[j - 1][1] + 1):
                         (shift, p), q = at[i], at[j - 1][1] + least - K
-                        rows.append((doc, other, [p, p + shift, q, q + shift]))
+                        flats.append([p, p + shift, q, q + shift])
                         i = j
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32())))], names=["doc_id", "other", "chain"])
+                rows.append((doc, other, flats))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kept)], names=["doc_id", "other", "chains"])
 
     def aligned_(found: DataFrame) -> DataFrame:
         needed = found.select("doc_id").union(found.select("other")).distinct()
         one = docs.join(needed, "doc_id").mapInArrow(hashed, "doc_id long, words binary").groupBy("doc_id").agg(F.min("words").alias("words"))
         one = staged(one, "words")
         both = found.join(one, "doc_id").join(one.select(F.col("doc_id").alias("other"), F.col("words").alias("other_words")), "other")
-        return both.select("doc_id", "other", "chain", "words", "other_words").mapInArrow(placed, PASSAGES)
+        return both.select("doc_id", "other", "chains", "words", "other_words").mapInArrow(placed, PASSAGES)
 
     by_doc = Window.partitionBy("h").orderBy("doc_id")
     all_, earlier = by_doc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), by_doc.rangeBetween(Window.unboundedPreceding, -1)
@@ -234,10 +242,12 @@ def passages(docs: DataFrame, least: int = LEAST, identity: float = IDENTITY) ->
     place = lambda w: F.max(F.struct(F.col("doc_id"), (-F.col("p")).alias("p"))).over(w)
     linked = seeds.select("*", F.min(F.struct("doc_id", "p")).over(all_).alias("f"), F.max("doc_id").over(all_).alias("last"), place(earlier).alias("b")).where("f.doc_id < last")
     shared = staged(linked.select("h", "doc_id", "p", F.col("f.doc_id").alias("first"), F.col("f.p").alias("a"), F.col("b.doc_id").alias("before"), (-F.col("b.p")).alias("c")), "shared")
+    del seeds, linked
     release(spark)
     ends = F.when(F.col("first") == F.col("before"), F.array(F.struct(F.col("first").alias("other"), "a"))).otherwise(F.array(F.struct(F.col("first").alias("other"), "a"), F.struct(F.col("before").alias("other"), F.col("c").alias("a"))))
     links = shared.where("doc_id > first").select("doc_id", "p", F.explode(ends).alias("e")).select("doc_id", "p", "e.*").groupBy("doc_id", "other").agg(F.collect_list(F.struct("p", "a")).alias("links")).where(F.size("links") > 1)
-    found = staged(links.mapInArrow(chained, "doc_id long, other long, chain array<int>"), "chains")
+    found = staged(links.mapInArrow(chained, "doc_id long, other long, chains array<array<int>>"), "chains")
+    del links
     release(spark)
     out = staged(aligned_(found).distinct(), "passages")
     release(spark)
@@ -250,7 +260,7 @@ def passages(docs: DataFrame, least: int = LEAST, identity: float = IDENTITY) ->
     runs = staged(docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(whole, "g long, doc_id long, p long"), "runs")
     firsts = runs.groupBy("g").agg(F.min(F.struct(F.col("doc_id").alias("other"), F.col("p").alias("a"))).alias("f"), F.max("doc_id").alias("last")).where("f.other < last").select("g", "f.*")
     links = runs.join(firsts, "g").where("doc_id > other").groupBy("doc_id", "other").agg(F.collect_list(F.struct("p", "a")).alias("links"))
-    more = staged(links.mapInArrow(joined, "doc_id long, other long, chain array<int>"), "more")
+    more = staged(links.mapInArrow(joined, "doc_id long, other long, chains array<array<int>>"), "more")
     release(spark)
     return out.union(aligned_(more)).distinct()
 

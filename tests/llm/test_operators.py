@@ -191,6 +191,25 @@ def test_passages_whose_parts_stand_elsewhere(spark):
         assert {(r.doc_id, r.source_doc_id, r.start, r.length) for r in got} == want and len(got) == 15
 
 
+def test_near_passages_of_few_equal_words_in_a_row(spark):
+    """Passages of which every word may be another one, at identities of 0.81 and more."""
+    rng = random.Random(6)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    found = {}
+    for n in (50, 60, 80):
+        for share in (0.1, 0.15, 0.18):
+            rows = []
+            for case in range(60):
+                passage = words(n)
+                near = list(passage)
+                for i in rng.sample(range(1, n - 1), int(n * share)):
+                    near[i] = f"x{rng.randrange(10**6)}"
+                rows += [(2 * case, " ".join(words(60) + passage + words(60)), "en", 1, 1), (2 * case + 1, " ".join(words(60) + near + words(60)), "en", 1, 1)]
+            pairs = op6_passages.passages(spark.createDataFrame(rows, COLUMNS), least=n * 3 // 5).collect()
+            found[n, share] = len({r.doc_id for r in pairs if r.source_doc_id == r.doc_id - 1}) / 60
+    assert min(found.values()) >= 0.9
+
+
 def test_chain_skips_what_is_out_of_order():
     places = [(0, 100), (10, 110), (15, 5), (20, 120), (30, 131)]
     assert op6_passages.chains(places)[0] == [(0, 100), (10, 110), (20, 120), (30, 131)]
