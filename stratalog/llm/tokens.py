@@ -2,7 +2,7 @@
 
 The library splits a text into pieces before its merges and encodes each piece on its own, so ids can be kept per piece. Pieces are cut here
 with the same patterns, for texts whose characters lie below U+0300, where normalisation to NFC changes nothing and classes of characters are
-settled; other texts go to the library whole.
+settled; other texts, and those that hold the content of an added token, go to the library whole.
 """
 
 from __future__ import annotations
@@ -55,14 +55,17 @@ class _Pieces(dict):
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers, each text followed by ``end``."""
+    """Ids of texts as little-endian unsigned 32-bit integers, each text followed by ``end``. With ``plain``, special tokens within a text are
+    found as the library does unasked, else they are text like any other."""
 
-    def __init__(self, path: str, end: int):
+    def __init__(self, path: str, end: int, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not plain
+        added = [t.content for t in self.library.get_added_tokens_decoder().values() if plain or not t.special]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.pattern = PATTERNS.get(os.path.basename(path))
         self.lower = "word_bpe" in path
         self.end = array("I", [end]).tobytes()
@@ -72,7 +75,7 @@ class Encoder:
         if not text:
             return self.end
         low = text.lower() if self.lower else text
-        if self.pattern is None or _HIGH.search(text) or _HIGH.search(low):
+        if self.pattern is None or _HIGH.search(text) or _HIGH.search(low) or (self.added and (self.added.search(text) or self.added.search(low))):
             return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes() + self.end
         if len(self.kept) > KEPT_PIECES:
             self.kept.clear()
@@ -81,5 +84,5 @@ class Encoder:
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str, end: int) -> Encoder:
-    """A worker's encoder, which keeps its pieces from one task to the next."""
-    return Encoder(path, end)
+    """A worker's encoder, which keeps its pieces from one task to the next; its ids are those of the library's plain encode."""
+    return Encoder(path, end, plain=True)

@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from stratalog.llm import op1_chosen_path, op2_token_files, op3_mixing, op4_quality, op5_licenses, op6_passages, op7_fingerprints, op8_pitman_yor, op9_packing, op10_sharding
-from stratalog.llm.tokens import PATTERNS, Encoder, vocabulary_path
+from stratalog.llm.tokens import PATTERNS, Encoder, encoder, vocabulary_path
 
 COLUMNS = "doc_id long, text string, lang string, component long, rank long"
 random.seed(1)
@@ -81,6 +81,15 @@ def test_pieces_are_the_librarys(tmp_path):
             assert encoder.encode(text) == np.array([*library.encode(text, add_special_tokens=False).ids, 7], np.uint32).tobytes()
 
 
+def test_special_tokens_in_texts_are_the_librarys():
+    for name in PATTERNS:
+        library = Tokenizer.from_file(vocabulary_path(name))
+        contents = [t.content for t in library.get_added_tokens_decoder().values()]
+        assert contents
+        for text in [x for c in contents for x in (f"a{c} x", f"A {c.upper()}{c}b", c)] + ["a<|endoftext|> x", "plain"]:
+            assert encoder(vocabulary_path(name), 7).encode(text) == np.array([*library.encode(text, add_special_tokens=False).ids, 7], np.uint32).tobytes()
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(1)
     for values in (np.zeros(0, np.uint32), np.array([2**32 - 1], np.uint32), rng.integers(0, 2**32, 1000, np.uint32), rng.integers(0, 50000, 777).astype(np.uint32), np.where(rng.random(5000) < 0.05, 2**31, 3).astype(np.uint32)):
