@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -13,16 +17,21 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 20_000
 
 
+@functools.lru_cache(maxsize=8)
+def _local_folder(application: str) -> str:
+    folder = tempfile.mkdtemp(prefix=f"stratalog-{application}-")
+    atexit.register(shutil.rmtree, folder, True)
+    return "file://" + folder
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only on a single-machine local master."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; where it is unset, on a master of one JVM only, a temporary one of this process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="stratalog-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _local_folder(spark.sparkContext.applicationId)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

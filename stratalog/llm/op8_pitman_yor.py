@@ -36,12 +36,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import release, staged, table
+from .mail import BINARY, MAIL, cuts, letters, packed, packed_sorted, post, posted, sent, unpacked, unpacked_sorted
 from .words import mixed
 
 CHUNK = 8 << 20
@@ -62,48 +62,11 @@ _LOW = np.uint64(0xFFFFFFFF)
 _UP = np.uint64(32)
 
 
-# --- packed lists -----------------------------------------------------------------------------------------------------------------------
-
-
-def _pack(values: np.ndarray) -> bytes:
-    """Integers byte by byte, which compresses best."""
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(np.asarray(values).astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<i8").ravel()
-
-
-def _pack_sorted(values: np.ndarray) -> bytes:
-    return _pack(np.diff(values.astype(np.int64), prepend=0))
-
-
-def _unpack_sorted(raw: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(raw))
-
-
-_BINARY = "abcdef"
-MAIL = "to long, sender long, kind int, sums array<double>, " + ", ".join(f"{c} binary" for c in _BINARY)
-_MAIL = pa.schema([("to", pa.int64()), ("sender", pa.int64()), ("kind", pa.int32()), ("sums", pa.list_(pa.float64())), *[(c, pa.binary()) for c in _BINARY]])
 #: Kinds of mail: ids and counts for a chunk's words; a block's counts, singles, tables, customers and tables above; parties of a bucket; their tables; classes of a chunk's
 #: pairs; sums over parties of one, and of more; what a block tells a bucket; what is known of a chunk's words, and of its pairs.
 IDS, BLOCK, PARTIES, TABLES, CLASSES, SINGLES, REPLY, TOLD, WORDS, PAIRS = range(10)
 
 
-def _post(rows: list[dict]) -> pa.Table:
-    return pa.Table.from_pylist([{"sums": None} | dict.fromkeys(_BINARY) | r for r in rows], _MAIL)
-
-
-def _letters(mail: pa.Table, kind: int) -> list[dict]:
-    """The letters of a kind, by sender."""
-    return sorted((r for r in mail.to_pylist() if r["kind"] == kind), key=lambda r: r["sender"])
-
-
-def _sent(mail: DataFrame, kind: int) -> DataFrame:
-    return mail.where(F.col("kind") == kind)
-
-
 # --- seatings ---------------------------------------------------------------------------------------------------------------------------
 
 
@@ -245,7 +208,7 @@ def _chunks(docs: DataFrame, size: int) -> DataFrame:
             order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")  # numbers by frequency
             rank = np.empty(len(words), np.int64)
             rank[order] = np.arange(len(words))
-            values = [part << 32 | nth, rows, ids, lengths, rank[before].tolist(), _pack(rank[flat]), hashes[order].tobytes()]
+            values = [part << 32 | nth, rows, ids, lengths, rank[before].tolist(), packed(rank[flat]), hashes[order].tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _CHUNK.values())], names=list(_CHUNK))
 
         for batch in batches:
@@ -284,7 +247,7 @@ class _Chunk:
 
     def __init__(self, row: dict):
         self.row = row
-        self.tokens = _unpack(row["tokens"])
+        self.tokens = unpacked(row["tokens"])
         lengths = np.array(row["lengths"])
         self.before = np.concatenate([self.tokens[:1], self.tokens[:-1]])
         self.before[np.cumsum(lengths) - lengths] = row["before"]
@@ -301,10 +264,10 @@ class _Chunk:
     def known(self, mail: pa.Table, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and counts of the chunk's words, and the order in which blocks tell them."""
         order, block = self.dealt(blocks)
-        letters = _letters(mail, IDS)
+        got = letters(mail, IDS)
         ids, counts = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        ids[order] = np.concatenate([_unpack(x["a"]) for x in letters]) * blocks + block
-        counts[order] = np.concatenate([_unpack(x["b"]) for x in letters])
+        ids[order] = np.concatenate([unpacked(x["a"]) for x in got]) * blocks + block
+        counts[order] = np.concatenate([unpacked(x["b"]) for x in got])
         if ids.max() >= 1 << 32:
             raise ValueError("over 2**32 - 1 distinct words")
         return ids, counts, order
@@ -320,19 +283,6 @@ class _Chunk:
         return distinct[order], bucket[order], seen, place[at]
 
 
-def _cuts(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values, and where each but the first begins."""
-    present, starts = np.unique(sorted_, return_index=True)
-    return present, starts[1:]
-
-
-def _batches(rows):
-    """Record batches of mail, of a few letters each."""
-    rows = iter(rows)
-    while some := [r for _, r in zip(range(256), rows)]:
-        yield from _post(some).to_batches()
-
-
 def _asking(blocks: int):
     def run(batches):
         for batch in batches:
@@ -340,8 +290,8 @@ def _asking(blocks: int):
                 own = _Chunk(row)
                 n = np.bincount(own.tokens[~own.held[own.text]], minlength=len(own.hashes))
                 order, block = own.dealt(blocks)
-                present, starts = _cuts(block)
-                yield from _batches({"to": int(b), "sender": row["chunk"], "kind": IDS, "a": own.hashes[i].tobytes(), "b": _pack(n[i])} for b, i in zip(present, np.split(order, starts)))
+                present, starts = cuts(block)
+                yield from posted({"to": int(b), "sender": row["chunk"], "kind": IDS, "a": own.hashes[i].tobytes(), "b": packed(n[i])} for b, i in zip(present, np.split(order, starts)))
 
     return run
 
@@ -351,14 +301,14 @@ def _numbering(group: pa.Table) -> pa.Table:
     asked = group.to_pylist()
     hashes = [np.frombuffer(x["a"], np.uint64) for x in asked]
     distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    n = np.bincount(at, np.concatenate([_unpack(x["b"]) for x in asked]), len(distinct)).astype(np.int64)
+    n = np.bincount(at, np.concatenate([unpacked(x["b"]) for x in asked]), len(distinct)).astype(np.int64)
     order = np.argsort(-n, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     cuts = np.cumsum([len(x) for x in hashes])[:-1]
     block = asked[0]["to"]
-    out = [{"to": x["sender"], "sender": block, "kind": IDS, "a": _pack(rank[i]), "b": _pack(n[i])} for x, i in zip(asked, np.split(at, cuts))]
-    return _post([*out, {"to": block, "sender": block, "kind": BLOCK, "sums": [float(n.sum()), float((n > 0).sum())], "a": _pack(n[order])}])
+    out = [{"to": x["sender"], "sender": block, "kind": IDS, "a": packed(rank[i]), "b": packed(n[i])} for x, i in zip(asked, np.split(at, cuts))]
+    return post([*out, {"to": block, "sender": block, "kind": BLOCK, "sums": [float(n.sum()), float((n > 0).sum())], "a": packed(n[order])}])
 
 
 def _pairing(blocks: int, buckets: int):
@@ -369,10 +319,10 @@ def _pairing(blocks: int, buckets: int):
             ids, counts, _ = own.known(right, blocks)
             keys, bucket, seen, at = own.pairs(ids, counts, buckets)
             n = np.bincount(at, ~own.held[own.text[seen]], len(keys))
-            present, starts = _cuts(bucket)
+            present, starts = cuts(bucket)
             for b, k, m in zip(present, np.split(keys, starts), np.split(n, starts)):
-                out.append({"to": int(b), "sender": row["chunk"], "kind": PAIRS, "a": _pack_sorted(k.view(np.int64)), "b": _pack(m)})
-        return _post(out)
+                out.append({"to": int(b), "sender": row["chunk"], "kind": PAIRS, "a": packed_sorted(k.view(np.int64)), "b": packed(m)})
+        return post(out)
 
     return run
 
@@ -392,9 +342,9 @@ def _sums(sender: int, kind: int, keys: np.ndarray, n: np.ndarray, blocks: int)
     for ids in (keys >> _UP, keys & _LOW):
         distinct, at = _by_block(ids, blocks)
         total = np.bincount(at, n, len(distinct)).astype(np.int64)
-        present, starts = _cuts((distinct >> _UP).astype(np.int64))
-        sides.append({int(b): (_pack_sorted(k & _LOW), _pack(s)) for b, k, s in zip(present, np.split(distinct, starts), np.split(total, starts))})
-    none = _pack(np.zeros(0, np.int64))
+        present, starts = cuts((distinct >> _UP).astype(np.int64))
+        sides.append({int(b): (packed_sorted(k & _LOW), packed(s)) for b, k, s in zip(present, np.split(distinct, starts), np.split(total, starts))})
+    none = packed(np.zeros(0, np.int64))
     out = []
     for block in sorted({*sides[0], *sides[1]}):
         (a, b), (c, d) = (x.get(block, (none, none)) for x in sides)
@@ -407,17 +357,17 @@ def _merging(blocks: int):
 
     def run(group: pa.Table) -> pa.Table:
         asked = group.to_pylist()
-        keys = [_unpack_sorted(x["a"]).view(np.uint64) for x in asked]
+        keys = [unpacked_sorted(x["a"]).view(np.uint64) for x in asked]
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(at, np.concatenate([_unpack(x["b"]) for x in asked]), len(distinct)).astype(np.int64)
+        n = np.bincount(at, np.concatenate([unpacked(x["b"]) for x in asked]), len(distinct)).astype(np.int64)
         kind, party = np.minimum(n, 2), np.cumsum(n > 1) - 1
         bucket, out = asked[0]["to"], []
         for x, i in zip(asked, np.split(at, np.cumsum([len(k) for k in keys])[:-1])):
-            out.append({"to": bucket, "sender": x["sender"], "kind": CLASSES, "a": _pack(kind[i]), "b": _pack_sorted(party[i[n[i] > 1]])})
+            out.append({"to": bucket, "sender": x["sender"], "kind": CLASSES, "a": packed(kind[i]), "b": packed_sorted(party[i[n[i] > 1]])})
         many = n > 1
-        out.append({"to": bucket, "sender": bucket, "kind": PARTIES, "sums": [float((n == 1).sum()), float((n == 2).sum())], "a": _pack_sorted(distinct[many].view(np.int64)), "b": _pack(n[many])})
+        out.append({"to": bucket, "sender": bucket, "kind": PARTIES, "sums": [float((n == 1).sum()), float((n == 2).sum())], "a": packed_sorted(distinct[many].view(np.int64)), "b": packed(n[many])})
         out += _sums(bucket, SINGLES, distinct[n == 1], n[n == 1], blocks) + _sums(bucket, REPLY, distinct[many], np.ones(int(many.sum())), blocks)
-        return _post(out)
+        return post(out)
 
     return run
 
@@ -442,28 +392,28 @@ def _updating(sweep: int, s: Scalars, log_x: float):
     """A block's tables and customers from the buckets' sums; draws its words' tables above, z and unscaled probabilities, and tells them."""
 
     def run(state: pa.Table, mail: pa.Table) -> pa.Table:
-        own = _letters(state, BLOCK)[0]
-        block, count = own["to"], _unpack(own["a"])
-        single = [_unpack(own[c]) if own[c] else np.zeros(len(count), np.int64) for c in "bc"]
-        letters = [{c: (_unpack_sorted if c in "ac" else _unpack)(x[c]) for c in "abcd"} | {"sender": x["sender"], "kind": x["kind"]} for k in (SINGLES, REPLY) for x in _letters(mail, k)]
-        for x in letters:
+        own = letters(state, BLOCK)[0]
+        block, count = own["to"], unpacked(own["a"])
+        single = [unpacked(own[c]) if own[c] else np.zeros(len(count), np.int64) for c in "bc"]
+        got = [{c: (unpacked_sorted if c in "ac" else unpacked)(x[c]) for c in "abcd"} | {"sender": x["sender"], "kind": x["kind"]} for k in (SINGLES, REPLY) for x in letters(mail, k)]
+        for x in got:
             if x["kind"] == SINGLES:
                 single[0][x["a"]] += x["b"]
                 single[1][x["c"]] += x["d"]
         tables, customers = single[0].copy(), single[1].copy()
-        for x in letters:
+        for x in got:
             if x["kind"] == REPLY:
                 tables[x["a"]] += x["b"]
                 customers[x["c"]] += x["d"]
         random = np.random.default_rng([sweep, block, 1])
-        top = seated(customers, np.full(len(count), log_x), _unpack(own["f"]) if own["f"] else None, s.above, random)
+        top = seated(customers, np.full(len(count), log_x), unpacked(own["f"]) if own["f"] else None, s.above, random)
         z = random.gamma(s.strength / s.discount + tables)
         g = random.gamma(np.maximum(customers - s.above * top, 0))
         some = count > 0
         sums = [top.sum(), customers.sum(), g.sum(), (customers == 1).sum(), (customers == 2).sum(), *strength_logs(tables[some], count[some], s.discount)]
-        out = [{"to": block, "sender": block, "kind": BLOCK, "sums": [float(x) for x in sums]} | {c: _pack(v) for c, v in zip(_BINARY, (count, *single, tables, customers, top))}]
-        out += [{"to": x["sender"], "sender": block, "kind": TOLD, "a": z[x["a"]].astype("<f4").tobytes(), "b": g[x["c"]].astype("<f4").tobytes()} for x in letters if x["kind"] == REPLY]
-        return _post(out)
+        out = [{"to": block, "sender": block, "kind": BLOCK, "sums": [float(x) for x in sums]} | {c: packed(v) for c, v in zip(BINARY, (count, *single, tables, customers, top))}]
+        out += [{"to": x["sender"], "sender": block, "kind": TOLD, "a": z[x["a"]].astype("<f4").tobytes(), "b": g[x["c"]].astype("<f4").tobytes()} for x in got if x["kind"] == REPLY]
+        return post(out)
 
     return run
 
@@ -472,13 +422,13 @@ def _drawing(sweep: int, s: Scalars, total: float, rest: float, blocks: int):
     """The tables of a bucket's parties, given what blocks have told, and their sums for the blocks."""
 
     def run(own: pa.Table, told: pa.Table) -> pa.Table:
-        parties, before, letters = _letters(own, PARTIES)[0], _letters(own, TABLES), _letters(told, TOLD)
-        keys, n = _unpack_sorted(parties["a"]).view(np.uint64), _unpack(parties["b"])
-        z, g = (np.concatenate([np.frombuffer(x[c], "<f4") for x in letters] or [np.zeros(0)]).astype(np.float64) for c in "ab")
+        parties, before, got = letters(own, PARTIES)[0], letters(own, TABLES), letters(told, TOLD)
+        keys, n = unpacked_sorted(parties["a"]).view(np.uint64), unpacked(parties["b"])
+        z, g = (np.concatenate([np.frombuffer(x[c], "<f4") for x in got] or [np.zeros(0)]).astype(np.float64) for c in "ab")
         u, w = _by_block(keys >> _UP, blocks)[1], _by_block(keys & _LOW, blocks)[1]
         log_x = np.log(s.discount * z[u]) + np.log((g[w] + rest * s.base) / total)
-        tables = seated(n, log_x, _unpack(before[0]["a"]) if before else None, s.discount, np.random.default_rng([sweep, parties["to"], 2]))
-        return _post([{"to": parties["to"], "sender": sweep, "kind": TABLES, "a": _pack(tables)}, *_sums(parties["to"], REPLY, keys, tables, blocks)])
+        tables = seated(n, log_x, unpacked(before[0]["a"]) if before else None, s.discount, np.random.default_rng([sweep, parties["to"], 2]))
+        return post([{"to": parties["to"], "sender": sweep, "kind": TABLES, "a": packed(tables)}, *_sums(parties["to"], REPLY, keys, tables, blocks)])
 
     return run
 
@@ -492,23 +442,23 @@ class Model:
     """The samples: parties' tables and blocks of words, as tables, and the scalars of each."""
 
     def __init__(self, vocabulary: DataFrame, census: DataFrame, blocks: int, n_words: int, burn_in: int = BURN_IN, samples: int = SAMPLES):
-        parties = _sent(census, PARTIES)
+        parties = sent(census, PARTIES)
         # one row for each block or bucket is summed
         once, twice = (float(x or 0) for x in parties.agg(F.sum(F.col("sums")[0]), F.sum(F.col("sums")[1])).first())
         s = Scalars(discount_of(once, twice), 0.5, 1 / (n_words + 1))
         random = np.random.default_rng(7)
-        state, mail, own = _sent(vocabulary, BLOCK), census.where(F.col("kind").isin(SINGLES, REPLY)), parties
+        state, mail, own = sent(vocabulary, BLOCK), census.where(F.col("kind").isin(SINGLES, REPLY)), parties
         self.samples: list[tuple[DataFrame, DataFrame, Scalars]] = []
         drawn = None
         for sweep in range(burn_in + samples + 1):
             log_x = float(np.log(s.above * random.gamma(s.strength_above / s.above + s.tables + (sweep == 0)) * s.base))
             state = staged(state.groupBy("to").cogroup(mail.groupBy("to")).applyInArrow(_updating(sweep, s, log_x), MAIL), "blocks")
             release(state.sparkSession)
-            got = _sent(state, BLOCK).agg(*[F.sum(F.col("sums")[i]) for i in range(5 + len(GRID))]).first()
+            got = sent(state, BLOCK).agg(*[F.sum(F.col("sums")[i]) for i in range(5 + len(GRID))]).first()
             tables, customers, g, once, twice, *logs = (float(x or 0) for x in got)
             s = _copied(s, tables, customers)
             if sweep > burn_in:
-                self.samples.append((_sent(drawn, TABLES), _sent(state, BLOCK), s))
+                self.samples.append((sent(drawn, TABLES), sent(state, BLOCK), s))
             else:  # the strengths of the last sweep to burn in stay
                 s.strength = _chosen(np.array(logs), random)
                 s.strength_above = _chosen(strength_logs(np.array([tables]), np.array([customers]), s.above), random)
@@ -517,9 +467,9 @@ class Model:
             if sweep == burn_in + samples:
                 break
             rest = float(random.gamma(s.strength_above + s.above * tables))
-            drawn = staged(own.groupBy("to").cogroup(_sent(state, TOLD).groupBy("to")).applyInArrow(_drawing(sweep, s, g + rest, rest, blocks), MAIL), "tables")
+            drawn = staged(own.groupBy("to").cogroup(sent(state, TOLD).groupBy("to")).applyInArrow(_drawing(sweep, s, g + rest, rest, blocks), MAIL), "tables")
             release(state.sparkSession)
-            own, mail, state = parties.unionByName(_sent(drawn, TABLES)), _sent(drawn, REPLY), _sent(state, BLOCK)
+            own, mail, state = parties.unionByName(sent(drawn, TABLES)), sent(drawn, REPLY), sent(state, BLOCK)
 
     @property
     def scalars(self) -> list[Scalars]:
@@ -537,26 +487,26 @@ def _copied(s: Scalars, tables: float, customers: float) -> Scalars:
 
 def _telling_words(asked: pa.Table, states: pa.Table) -> pa.Table:
     """For each chunk's words of a block: tables as a context, customers and tables above, sample by sample."""
-    samples = [{c: _unpack(x[c]) for c in "def"} for x in sorted(states.to_pylist(), key=lambda x: x["sender"])]
+    samples = [{c: unpacked(x[c]) for c in "def"} for x in sorted(states.to_pylist(), key=lambda x: x["sender"])]
     out = []
     for x in asked.to_pylist():
-        rank = _unpack(x["a"])
-        out.append({"to": x["to"], "sender": x["sender"], "kind": WORDS} | {c: _pack(np.stack([y[c][rank] for y in samples]).ravel()) for c in "def"})
-    return _post(out)
+        rank = unpacked(x["a"])
+        out.append({"to": x["to"], "sender": x["sender"], "kind": WORDS} | {c: packed(np.stack([y[c][rank] for y in samples]).ravel()) for c in "def"})
+    return post(out)
 
 
 def _telling_pairs(asked: pa.Table, own: pa.Table) -> pa.Table:
     """For each chunk's pairs of a bucket: how often they stand, and the sum of their tables over the samples."""
-    n = _unpack(_letters(own, PARTIES)[0]["b"])
-    samples = [_unpack(x["a"]) for x in _letters(own, TABLES)]
+    n = unpacked(letters(own, PARTIES)[0]["b"])
+    samples = [unpacked(x["a"]) for x in letters(own, TABLES)]
     tables = np.sum(samples, axis=0)
     out = []
     for x in asked.to_pylist():
-        kind, party = _unpack(x["a"]), _unpack_sorted(x["b"])
+        kind, party = unpacked(x["a"]), unpacked_sorted(x["b"])
         count, sums = kind.copy(), kind * len(samples)
         count[kind == 2], sums[kind == 2] = n[party], tables[party]
-        out.append({"to": x["sender"], "sender": x["to"], "kind": PAIRS, "a": _pack(count), "b": _pack(sums)})
-    return _post(out)
+        out.append({"to": x["sender"], "sender": x["to"], "kind": PAIRS, "a": packed(count), "b": packed(sums)})
+    return post(out)
 
 
 PIECES = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double"
@@ -572,10 +522,10 @@ def _scoring(scalars: list[Scalars], total: int, n_words: int, blocks: int, buck
             samples, size = len(scalars), len(count)
             told = {c: np.empty((samples, size), np.int64) for c in "def"}
             for c in "def":
-                told[c][:, order] = np.concatenate([_unpack(x[c]).reshape(samples, -1) for x in _letters(mail, WORDS)], axis=1)
+                told[c][:, order] = np.concatenate([unpacked(x[c]).reshape(samples, -1) for x in letters(mail, WORDS)], axis=1)
             keys, _, seen, at = own.pairs(ids, count, buckets)
-            letters = _letters(mail, PAIRS)
-            n, tables = (np.concatenate([_unpack(x[c]) for x in letters] or [np.zeros(0, np.int64)]) for c in "ab")
+            got = letters(mail, PAIRS)
+            n, tables = (np.concatenate([unpacked(x[c]) for x in got] or [np.zeros(0, np.int64)]) for c in "ab")
             p = sum(s.back(t, count)[own.before] * s.top(c, a)[own.tokens] for s, t, c, a in zip(scalars, told["d"], told["e"], told["f"])) / samples
             p[seen] += (n - scalars[0].discount * tables / samples)[at] / (scalars[0].strength + count[own.before[seen]])
             base = np.log10((count + 0.1) / (total + 0.1 * (n_words + 1)))
@@ -594,9 +544,9 @@ def counted(docs: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame, DataFram
     asked, tokens = chunks.agg(F.sum(F.octet_length("hashes")), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()
     blocks, buckets = max(1, -(-(asked or 0) // (8 * ASKED))), max(1, -(-(tokens or 0) // PAIR_TOKENS))
     vocabulary = staged(chunks.mapInArrow(_asking(blocks), MAIL).groupBy("to").applyInArrow(_numbering, MAIL), "vocabulary")
-    total, n_words = (int(x or 0) for x in _sent(vocabulary, BLOCK).agg(F.sum(F.col("sums")[0]), F.sum(F.col("sums")[1])).first())
+    total, n_words = (int(x or 0) for x in sent(vocabulary, BLOCK).agg(F.sum(F.col("sums")[0]), F.sum(F.col("sums")[1])).first())
     release(spark)
-    pairs = chunks.groupBy("chunk").cogroup(_sent(vocabulary, IDS).groupBy("to")).applyInArrow(_pairing(blocks, buckets), MAIL)
+    pairs = chunks.groupBy("chunk").cogroup(sent(vocabulary, IDS).groupBy("to")).applyInArrow(_pairing(blocks, buckets), MAIL)
     census = staged(pairs.groupBy("to").applyInArrow(_merging(blocks), MAIL), "census")
     release(spark)
     return chunks, vocabulary, census, total, n_words, blocks, buckets
@@ -607,10 +557,10 @@ def score(docs: DataFrame, chunk: int = CHUNK, burn_in: int = BURN_IN, samples:
     chunks, vocabulary, census, total, n_words, blocks, buckets = counted(docs, chunk)
     model = Model(vocabulary, census, blocks, n_words, burn_in, samples)
     states = [s.withColumn("sender", F.lit(i).cast("long")) for i, (_, s, _) in enumerate(model.samples)]
-    words = _sent(vocabulary, IDS).groupBy("sender").cogroup(functools.reduce(DataFrame.unionByName, states).groupBy("to")).applyInArrow(_telling_words, MAIL)
-    parties = functools.reduce(DataFrame.unionByName, [t for t, _, _ in model.samples], _sent(census, PARTIES))
-    pairs = _sent(census, CLASSES).groupBy("to").cogroup(parties.groupBy("to")).applyInArrow(_telling_pairs, MAIL)
-    mail = _sent(vocabulary, IDS).unionByName(words).unionByName(pairs)
+    words = sent(vocabulary, IDS).groupBy("sender").cogroup(functools.reduce(DataFrame.unionByName, states).groupBy("to")).applyInArrow(_telling_words, MAIL)
+    parties = functools.reduce(DataFrame.unionByName, [t for t, _, _ in model.samples], sent(census, PARTIES))
+    pairs = sent(census, CLASSES).groupBy("to").cogroup(parties.groupBy("to")).applyInArrow(_telling_pairs, MAIL)
+    mail = sent(vocabulary, IDS).unionByName(words).unionByName(pairs)
     found = chunks.groupBy("chunk").cogroup(mail.groupBy("to")).applyInArrow(_scoring(model.scalars, total, n_words, blocks, buckets), PIECES)
     whole = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     held = F.col("doc_id").isNull() | (F.crc32(F.col("doc_id").cast("string")) % 10 == 0)

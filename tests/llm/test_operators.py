@@ -220,8 +220,31 @@ def test_near_passages_of_few_equal_words_in_a_row(spark):
 
 
 def test_chain_skips_what_is_out_of_order():
-    places = [(0, 100), (10, 110), (15, 5), (20, 120), (30, 131)]
-    assert op6_passages.chains(places)[0] == [(0, 100), (10, 110), (20, 120), (30, 131)]
+    p, a = np.array([[0, 100], [10, 110], [15, 5], [20, 120], [30, 131]]).T
+    parts = op6_passages.segments(np.zeros(5, int), p, a)
+    assert op6_passages.chains([tuple(x[1:]) for x in parts.tolist()])[0] == [(0, 100), (20, 120), (30, 131), (30, 131)]
+
+
+def test_passages_have_all_runs_that_brute_force_finds(spark):
+    """Every word in a run of 50 words that an earlier document has lies in a passage."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = op6_passages.passages(docs).collect()
+    covered = {(r.doc_id, i) for r in got for i in range(r.start, r.start + r.length)}
+    first, want = {}, set()
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        words = (r.text or "").lower().split()
+        for i in range(len(words) - 49):
+            if first.setdefault(tuple(words[i : i + 50]), r.doc_id) < r.doc_id:
+                want |= {(r.doc_id, j) for j in range(i, i + 50)}
+    assert want and want <= covered
+
+
+def test_passages_of_rows_without_or_with_equal_ids(spark):
+    passage = prose(80)
+    rows = [(None, passage, "en", 1, 1), (1, passage, "en", 1, 1), (2, "a b " + passage, "en", 1, 1), (2, "c d " + passage, "en", 1, 1), (3, None, "en", 1, 1), (4, "", "en", 1, 1), (5, "x " * 3000, "en", 1, 1), (6, "x " * 3000, "en", 1, 1)]
+    got = op6_passages.passages(spark.createDataFrame(rows, COLUMNS)).collect()
+    assert {(r.doc_id, r.source_doc_id) for r in got} == {(2, 1), (6, 5)} and [(r.start, r.length) for r in got if r.doc_id == 2] == [(2, 80)]
+    assert {i for r in got if r.doc_id == 6 for i in range(r.start, r.start + r.length)} == set(range(3000))
 
 
 def test_fingerprints(spark, none):
