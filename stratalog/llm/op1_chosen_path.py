@@ -12,7 +12,8 @@ What sketches find alike at ``LOOSE`` makes up loose components. In them all pai
 for each pair. So every link between sets of one loose component is found.
 
 Nulls and texts without words have no shingles and no links, and are classes of their own. Texts of fewer words than a shingle have one
-shingle of all their words. Repeated rows count as copies. An empty table gives no rows; other columns are ignored.
+shingle of all their words. Repeated rows count as copies. Rows without a
+doc_id are joined like others; class_id is null where no member has one. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,12 +65,12 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, version, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 items = shingles(text.as_py(), k)
-                rows.append((doc, xxhash.xxh3_128_digest(items.tobytes()), len(items), sketch(items, COORDINATES).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.binary()))], names=["doc_id", "key", "n", "sketch"])
+                rows.append((doc, version, xxhash.xxh3_128_digest(items.tobytes()), len(items), sketch(items, COORDINATES).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()))], names=["doc_id", "version", "key", "n", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, key binary, n long, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, version long, key binary, n long, sketch binary")
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -244,14 +245,16 @@ def _compared(threshold: float):
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = 5, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class), n_links: how many other rows a row is linked with, copies included."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id, class_id (the least doc_id of the class), n_links: how many other rows a row is linked with, copies included. Also version, a hash of the text, and stays: whether
+    the row is its class's first, by doc_id (none last) and version."""
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
     rows = staged(_sets(docs, k), "sketches")
     # a set goes by a hash of its items, as a doc_id may stand on several texts
-    sets = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
+    sets = rows.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("head"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
     sets = staged(sets.withColumn("id", F.xxhash64("key")), "sets")
     loose = components(loose_edges(sets.select("id", "sketch"), threshold, runs_for(recall)))
-    members = staged(sets.select("id", "doc_id", "key", "copies").join(loose, "id"), "loose")
+    members = staged(sets.select("id", F.col("head.doc_id").alias("of"), F.col("head.version").alias("of_version"), "key", "copies").join(loose, "id"), "loose")
 
     def items(batches):
         for batch in batches:
@@ -260,7 +263,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = 5, recall: floa
             out = [*batch.select(["id", "copies", "component"]).columns, pa.array(made, pa.binary())]
             yield pa.RecordBatch.from_arrays(out, names=["id", "copies", "component", "items"]).filter(own)
 
-    full = docs.join(members.hint("merge"), "doc_id").select("id", "copies", "component", "key", "text").mapInArrow(items, "id long, copies long, component long, items binary")
+    own = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("version") == F.col("of_version"))
+    full = docs.join(members.hint("merge"), own).select("id", "copies", "component", "key", "text").mapInArrow(items, "id long, copies long, component long, items binary")
     blocks = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = full.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -269,13 +273,15 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = 5, recall: floa
     compared = staged(dealt.groupBy("component", "low", "high").applyInArrow(_compared(threshold), "id long, links long, root long"), "compared")
     links = compared.groupBy("id").agg(F.sum("links").alias("links"))
     classes = components(compared.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    least = sets.select("id", "doc_id").join(classes, "id").groupBy("component").agg(F.min("doc_id").alias("class"))
+    least = sets.select("id", "head").join(classes, "id").groupBy("component").agg(F.min("head").alias("class"))
     of = classes.join(least, "component").select("id", "class")
-    named = sets.join(links, "id", "left").join(of, "id", "left").select("key", F.coalesce("class", "doc_id").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    out = rows.select("doc_id", "n", "key").join(named, "key", "left")
+    named = sets.join(links, "id", "left").join(of, "id", "left").select("key", F.coalesce("class", "head").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    out = rows.select("doc_id", "version", "n", "key").join(named, "key", "left")
     empty = F.col("n") == 0
-    return out.select("doc_id", F.when(empty, F.col("doc_id")).otherwise(F.col("class")).alias("class_id"), F.when(empty, F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links"))
+    stays = empty | (F.col("doc_id").eqNullSafe(F.col("class.doc_id")) & (F.col("version") == F.col("class.version")))
+    class_id = F.when(empty, F.col("doc_id")).otherwise(F.col("class.doc_id"))
+    return out.select("doc_id", class_id.alias("class_id"), F.when(empty, F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links"), "version", stays.alias("stays"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")

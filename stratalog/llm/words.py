@@ -9,7 +9,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hashes a worker keeps; beyond that it starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 _MIX = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
