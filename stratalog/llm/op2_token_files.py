@@ -6,7 +6,7 @@ minimum, packs what is left at the width that ``WIDE`` of its values fit, and li
 in the segment, so a block is read without those before it. Documents' lengths are stored the same way.
 
 Nulls and empty texts count as empty: they have the end id alone. Repeated rows of a doc_id each keep their own ids, in arbitrary order
-among themselves. An empty table gives an empty file. Other columns are ignored.
+among themselves. Rows without a doc_id come first. An empty table gives an empty file. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -101,19 +101,20 @@ def unpack(image: bytes | memoryview, only: range | None = None) -> np.ndarray:
 
 def segment(doc_ids: list[int], ids: list[bytes]) -> bytes:
     lengths, packed = pack(np.array([len(x) // 4 for x in ids], np.uint32)), pack(np.frombuffer(b"".join(ids), "<u4"))
-    return _MAGIC + struct.pack("<QQ", len(doc_ids), len(lengths)) + np.array(doc_ids, "<i8").tobytes() + lengths + packed
+    return _MAGIC + struct.pack("<QQ", len(doc_ids), len(lengths)) + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.packbits([d is None for d in doc_ids]).tobytes() + lengths + packed
 
 
-def documents_of(image: bytes) -> Iterator[tuple[int, np.ndarray]]:
+def documents_of(image: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
     """The documents of a segment: their doc_id and ids."""
     if image[:4] != _MAGIC:
         raise ValueError("not a segment of token ids")
     n, size = struct.unpack_from("<QQ", image, 4)
-    at = 20 + 8 * n
+    at = 20 + 8 * n + -(-n // 8)
+    none = np.unpackbits(np.frombuffer(image, np.uint8, -(-n // 8), 20 + 8 * n), count=n).tolist()
     ends = np.cumsum(unpack(memoryview(image)[at : at + size]).astype(np.int64))
     ids = unpack(memoryview(image)[at + size :])
-    for doc, end, before in zip(np.frombuffer(image, "<i8", n, 20).tolist(), ends, [0, *ends[:-1]]):
-        yield doc, ids[before:end]
+    for doc, null, end, before in zip(np.frombuffer(image, "<i8", n, 20).tolist(), none, ends, [0, *ends[:-1]]):
+        yield None if null else doc, ids[before:end]
 
 
 SEGMENTS = "part int, nth long, before long, n_ids long, image binary"
