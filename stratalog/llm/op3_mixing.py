@@ -95,7 +95,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Classifier:
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(domain).alias("domain"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)))
-    rows = staged(docs.join(F.broadcast(sample), "doc_id"), "labelled")  # SAMPLE rows at most
+    # one text of each doc_id, so SAMPLE rows at most
+    rows = staged(docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "domain", "half").agg(F.min("text").alias("text")), "labelled")
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
     n = rows.where("half = 0").groupBy("domain").count().collect()
     size = np.array([next((r["count"] for r in n if r.domain == d), 0) for d in range(len(DOMAINS))], float)
@@ -112,8 +113,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Classifier:
 
     def run(batches):
         for batch in batches:
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([features(text, lexicon)], pa.list_(pa.float64()))], names=["domain", "x"])
+            made = pa.array([features(text, lexicon) for text in batch.column(1).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["domain", "x"])
 
     train = rows.where("half = 1").select("domain", "text").mapInArrow(run, "domain int, x array<double>").orderBy("domain", "x").collect()
     if len({r.domain for r in train}) > 1:
@@ -133,8 +134,9 @@ def _columns(batch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, most: float | None = None, keep: str | None = None) -> DataFrame:
-    """Each document's tokens, posteriors and rate. The tokens in total stay as they are, or are what leaves domain ``keep`` as it is."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """Each document's ``version`` (a hash of its text), tokens, posteriors and rate. The tokens in total stay as they are, or are what leaves domain ``keep`` as it is."""
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), F.coalesce(text, F.lit("")).alias("text"))
     model = fitted(docs, labels)
     k = len(DOMAINS)
     kinds = ", ".join(f"p_{d} double" for d in DOMAINS)
@@ -144,9 +146,9 @@ def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHT
             texts = batch.column("text").to_pylist()
             if texts:
                 p = model.posteriors(texts)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t.split()) for t in texts], pa.int64()), *[pa.array(p[:, i]) for i in range(k)]], names=["doc_id", "n_tokens", *[f"p_{d}" for d in DOMAINS]])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array([len(t.split()) for t in texts], pa.int64()), *[pa.array(p[:, i]) for i in range(k)]], names=["doc_id", "version", "n_tokens", *[f"p_{d}" for d in DOMAINS]])
 
-    rows = staged(docs.mapInArrow(classify, f"doc_id long, n_tokens long, {kinds}"), "posteriors")
+    rows = staged(docs.mapInArrow(classify, f"doc_id long, version long, n_tokens long, {kinds}"), "posteriors")
 
     def totals(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         def run(batches):
@@ -186,8 +188,8 @@ def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHT
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replayed(*_columns(batch), final, most))], names=[*batch.schema.names, "rate"])
 
-    return rows.mapInArrow(rated, f"doc_id long, n_tokens long, {kinds}, rate double")
+    return rows.mapInArrow(rated, f"doc_id long, version long, n_tokens long, {kinds}, rate double")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("version")

@@ -58,8 +58,8 @@ def measured(docs: DataFrame) -> DataFrame:
     by_word = let(words, lambda w: F.struct(F.size(w).cast(_LONG).alias("n_words"), F.char_length(F.array_join(w, "")).cast(_LONG).alias("word_chars"), repeat_words(w).cast(_LONG).alias("n_repeat_words")))
     by_line = let(lines, lambda x: F.struct(F.size(x).cast(_LONG).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast(_LONG).alias("n_dup_lines")))
     left = lambda of: F.char_length(F.regexp_replace(text, of, "")).cast(_LONG)
-    rows = docs.select(F.col("doc_id").cast(_LONG).alias("doc_id"), F.col("lang").cast("string").alias("lang"), by_word.alias("w"), by_line.alias("l"), left(r"[^#*$%&|<>]+").alias("n_symbols"), left("[^A-Z]+").alias("n_capitals"))
-    rows = rows.select("doc_id", "lang", "w.*", "l.*", "n_symbols", "n_capitals")
+    rows = docs.select(F.col("doc_id").cast(_LONG).alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("version"), F.col("lang").cast("string").alias("lang"), by_word.alias("w"), by_line.alias("l"), left(r"[^#*$%&|<>]+").alias("n_symbols"), left("[^A-Z]+").alias("n_capitals"))
+    rows = rows.select("doc_id", "version", "lang", "w.*", "l.*", "n_symbols", "n_capitals")
     return rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -91,7 +91,7 @@ def cutoffs(rows: DataFrame, labels: DataFrame, risk: float = RISK, error: float
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every document with its counts and the verdict ``kept``."""
+    """Every document with its counts and the verdict ``kept``, and with its language and ``version``, a hash of the text."""
     rows = staged(measured(docs), "quality")
     found = cutoffs(rows, labels).withColumnRenamed("lang", "_lang")
     joined = rows.join(F.broadcast(found), F.col("lang").eqNullSafe(F.col("_lang")), "left")
@@ -100,11 +100,11 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     for x in over[1:]:
         bad = bad | x
     kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(~bad)
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "lang", "version")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("lang", "version")
 
 
 def _sql() -> str:
