@@ -7,15 +7,16 @@ document frequency. The label is given where the votes for one start reach ``LEA
 phrase in place can't give a label, so none is left out. Document frequencies are counted over the whole corpus; words that nearly all documents
 have keep the weight ``FLOOR``. The score is the best such share.
 
-Base labels come from three plain phrases anywhere in the text and always stay. Nulls count as empty texts, without words or labels. Repeated
-rows are scanned each on its own, though the frequencies count both; an empty table gives no rows; other columns are ignored.
+Base labels come from three plain phrases anywhere in the text and always stay. Nulls count as empty texts, without words or labels. Texts of any length
+are scanned in one pass over their hits. Repeated rows are scanned each on its own, though the frequencies count both; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from functools import reduce
-from operator import add
+from operator import add, and_
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,7 +67,9 @@ def hits(docs: DataFrame) -> DataFrame:
         at = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(_VOCABULARY), F.struct(w.alias("w"), (i - skip).alias("p")))))
         return F.struct(n.cast("long").alias("n_words"), at.alias("hits"))
 
-    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # but for two letters, lower-casing the others as well makes no other ASCII words
+    text = F.when(text.rlike("[\u0130\u212A]"), F.translate(text, ascii_uppercase, ascii_lowercase)).otherwise(F.lower(text))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), let(F.split(text, _SPLIT), found).alias("f")).select("doc_id", "f.*")
 
 
@@ -112,7 +115,9 @@ def scan(docs: DataFrame) -> DataFrame:
         return F.greatest(*[best(*x) for x in phrases], F.lit(0.0))
 
     def places(at: Column, words: list[str]) -> Column:
-        return F.transform(F.filter(at, lambda h: (h["w"] == words[0]) & _stands(at, words, h["p"])), lambda h: h["p"])
+        # words that stand one after the other are hits one after the other
+        follows = lambda h, i: reduce(and_, [F.coalesce((F.get(at, i + k)["w"] == w) & (F.get(at, i + k)["p"] == h["p"] + k), F.lit(False)) for k, w in enumerate(words[1:], 1)], h["w"] == words[0])
+        return F.transform(F.filter(at, follows), lambda h: h["p"])
 
     def judged(at: Column) -> Column:
         starts = {p: places(at, p.split()) for p in BASE}
