@@ -30,15 +30,19 @@ def lanes(text: Column) -> Column:
     """The summed vector of a text's paragraphs: EQUAL lanes modulo 2**32, then ALIKE lanes, each in signed form."""
 
     def summed(hashes: Column) -> Column:
-        equal = F.transform(F.sequence(F.lit(0), F.lit(EQUAL - 1)), lambda i: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: (a + F.xxhash64(h[0], i).bitwiseAND(F.lit(_POWER - 1))).bitwiseAND(F.lit(_POWER - 1))))
+        equal = F.transform(F.sequence(F.lit(0), F.lit(EQUAL - 1)), lambda i: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: (a + h[i]).bitwiseAND(F.lit(_POWER - 1))))
         signs = F.transform(
             F.sequence(F.lit(0), F.lit(ALIKE - 1)),
-            lambda i: let(F.floor(i / 64).cast("int") + 1, lambda word: let((i % 64).cast("int"), lambda bit: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + 1 - 2 * F.getbit(h[word], bit)))),
+            lambda i: let(F.floor(i / 32).cast("int") + EQUAL, lambda word: let((i % 32).cast("int"), lambda bit: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + 1 - 2 * F.getbit(h[word], bit)))),
         )
         return F.concat(equal, F.transform(signs, lambda x: F.pmod(x + 32768, F.lit(65536)) - 32768))
 
-    paragraphs = F.filter(F.split(text, "\n"), lambda p: F.trim(p) != "")
-    hashed = F.transform(paragraphs, lambda p: let(F.sha2(p, 256), lambda s: F.array(*[F.xxhash64(s, F.lit(k)) for k in range(-1, ALIKE // 64)])))
+    def words(digest: Column, n: int) -> list[Column]:
+        return [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long") for k in range(n)]
+
+    paragraphs = F.filter(F.split(text, "\n"), lambda p: F.btrim(p, F.lit(" \t\x0b\x0c\r")) != "")
+    # the lanes are the words of a paragraph's digest, the signs the bits of that one's digest
+    hashed = F.transform(paragraphs, lambda p: let(F.sha2(p, 512), lambda s: let(F.sha2(s, 256), lambda t: F.array(*words(s, EQUAL), *words(t, ALIKE // 32)))))
     return let(hashed, summed)
 
 
