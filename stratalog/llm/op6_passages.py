@@ -481,7 +481,10 @@ _WORD = re.compile(r"\S+")
 def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` without the passages that earlier documents have, and without documents of which no word is left."""
     spans = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "length")).alias("_spans"))
-    joined = docs.join(spans, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    version = F.xxhash64(F.col("text").cast("string"))
+    # of rows that repeat a doc_id, passages are those of the text with the least hash
+    versions = docs.select(F.col("doc_id").cast("long").alias("_id"), version.alias("_version")).groupBy("_id").agg(F.min("_version").alias("_version"))
+    joined = docs.join(spans.join(versions, "_id"), (F.col("doc_id") == F.col("_id")) & (version == F.col("_version")), "left").drop("_id", "_version")
 
     def left(text: str, spans: list[dict]) -> str:
         words = list(_WORD.finditer(text))

@@ -174,6 +174,13 @@ def test_licenses_of_one_text_with_several_notices(spark):
     assert [got[42 + i].labels for i in range(4)] == list(notices) and got[46].labels == "" and got[0].labels == ""
 
 
+def test_licenses_of_long_texts_and_odd_letters(spark):
+    texts = ["MIT license " * 100_000, "M\u0130T license", "M\u0131T license mit \u212Ait", None]
+    got = {r.doc_id: r for r in op5_licenses.scan(spark.createDataFrame([(i, t, "en", 1, 1) for i, t in enumerate(texts)], COLUMNS)).collect()}
+    assert (got[0].n_words, got[0].n_base, got[0].first_word, got[0].last_word) == (200_000, 100_000, 0, 199_998)
+    assert [got[i].n_base for i in (1, 2, 3)] == [0, 0, 0] and [got[i].n_words for i in (1, 2, 3)] == [2, 4, 0]
+
+
 def test_passages_and_their_cut(docs, none):
     found = op6_passages.passages(docs)
     got = {(r.doc_id, r.source_doc_id): r for r in found.collect()}
@@ -263,6 +270,37 @@ def test_fingerprints(spark, none):
     assert op7_fingerprints.fingerprints(none).count() == 0
 
 
+def brute_fingerprint(text):
+    lanes = [0] * (op7_fingerprints.EQUAL + op7_fingerprints.ALIKE)
+    for p in text.split("\n"):
+        if p.strip(" \t\x0b\x0c\r"):
+            wide = hashlib.sha512(p.encode()).hexdigest()
+            signs = hashlib.sha256(wide.encode()).hexdigest()
+            for i in range(16):
+                lanes[i] = (lanes[i] + int(wide[8 * i : 8 * i + 8], 16)) % 2**32
+            for i in range(128):
+                lanes[16 + i] += 1 - 2 * (int(signs[8 * (i // 32) : 8 * (i // 32) + 8], 16) >> i % 32 & 1)
+    return lanes
+
+
+def test_fingerprints_equal_brute_force(spark):
+    texts = ["\n".join(prose(random.randint(1, 9)) for _ in range(random.randint(1, 30))) + random.choice(["", "\n \t\n", "\r"]) for _ in range(30)] + ["", "é\n日本"]
+    texts += texts[:2]
+    rows = sorted(op7_fingerprints.fingerprints(spark.createDataFrame([(i, t, "en", 1, 1) for i, t in enumerate(texts)], COLUMNS)).collect(), key=lambda r: r.doc_id)
+
+    def near(a, b):
+        x, y = a[16:], b[16:]
+        return 1.0 if a == b else max(0.0, 1 - sum((i - j) ** 2 for i, j in zip(x, y)) / max(1, sum(i * i for i in x) + sum(j * j for j in y)))
+
+    for i, (t, r) in enumerate(zip(texts, rows)):
+        after = texts[(i + 1) % len(texts)]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        own, changed = brute_fingerprint(t), brute_fingerprint(edited)
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert r.fingerprint == "".join(f"{x:08x}" for x in own[:16]).upper() + "".join(f"{x % 65536:04x}" for x in own[16:]).upper()
+        assert abs(r.near_edited - near(own, changed)) < 1e-9 and abs(r.near_next - near(own, brute_fingerprint(after))) < 1e-9
+
+
 def test_scores(docs, none):
     got = op8_pitman_yor.score(docs).collect()
     texts = [(i, [w.lower() for w in (t or "").encode().split()] + [b""]) for i, t, *_ in ROWS]
@@ -274,6 +312,80 @@ def test_scores(docs, none):
     assert op8_pitman_yor.score(none).count() == 0
 
 
+def test_model_sums_to_one_and_is_the_samplers(spark):
+    """The probabilities after each word sum to 1 over the words and the unknown one; tables are as many as a sampler finds that seats one customer after the other."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.choices(words, [2.0 ** -(k % 7) for k in range(12)], k=rng.randint(5, 60))) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, "en", 1, 1) for i, t in enumerate(texts)], COLUMNS)
+    *_, vocabulary, census, total, n_words, blocks, buckets = op8_pitman_yor.counted(docs, 300)
+    assert op8_pitman_yor.counted(docs, 300)[0].count() > 5
+    model = op8_pitman_yor.Model(vocabulary, census, blocks, n_words, 2, 12)
+    singles = op8_pitman_yor.unpacked
+    keys = {r["to"]: (op8_pitman_yor.unpacked_sorted(r.a), singles(r.b)) for r in op8_pitman_yor.sent(census, op8_pitman_yor.PARTIES).collect()}
+    tables = []
+    for parties, state, s in model.samples:
+        assert blocks == buckets == 1
+        block, t = state.first(), op8_pitman_yor.unpacked(parties.first().a)
+        count, one_u, one_w, of_u, customers, top = (op8_pitman_yor.unpacked(block[c]) for c in "abcdef")
+        assert count.sum() == total and customers.sum() == s.customers and top.sum() == s.tables
+        above = s.top(customers, top)[count > 0].sum() + s.top(np.zeros(1), np.zeros(1))[0]
+        assert abs(above - 1) < 1e-9
+        (pair, n), = keys.values()
+        for u in range(len(count)):
+            mine = pair >> 32 == u
+            own = (n[mine] - s.discount * t[mine]).sum() + one_u[u] * (1 - s.discount)
+            assert t[mine].sum() + one_u[u] == of_u[u] and abs(own / (s.strength + count[u]) + s.back(of_u[u], count[u]) - 1) < 1e-9
+        tables.append(customers.sum())
+    # seating one after the other, with the model's strengths and discounts
+    counts = Counter()
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 10:
+            row = ["", *t.split(), ""]
+            counts.update(zip(row, row[1:]))
+    pure = np.random.default_rng(1)
+    seats, upper = {k: [] for k in counts}, {w: [] for _, w in counts}
+    base = 1 / (n_words + 1)
+
+    def seat(at, d, new):
+        p = np.array([x - d for x in at] + [new])
+        k = int(pure.choice(len(p), p=p / p.sum()))
+        at.append(1) if k == len(at) else at.__setitem__(k, at[k] + 1)
+        return k == len(at) - 1 and at[k] == 1
+
+    def leave(at):
+        k = int(pure.choice(len(at), p=np.array(at) / sum(at)))
+        at[k] -= 1
+        if not at[k]:
+            del at[k]
+            return True
+        return False
+
+    def word(w):
+        return (sum(upper[w]) - s.above * len(upper[w]) + (s.strength_above + s.above * sum(map(len, upper.values()))) * base) / (s.strength_above + sum(map(sum, upper.values())))
+
+    means = []
+    for sweep in range(60):
+        for u, w in counts:
+            for _ in range(counts[u, w]):
+                at = seats[u, w]
+                if sweep and leave(at):
+                    leave(upper[w])
+                own = sum(len(x) for k, x in seats.items() if k[0] == u)
+                if seat(at, s.discount, (s.strength + s.discount * own) * word(w)):
+                    seat(upper[w], s.above, (s.strength_above + s.above * sum(map(len, upper.values()))) * base)
+        if sweep >= 20:
+            means.append(sum(map(len, seats.values())))
+    assert abs(np.mean(tables) - np.mean(means)) < 0.15 * np.mean(means)
+
+
+def test_long_texts_are_cut_between_words(spark, docs):
+    whole, cut = ({(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in op8_pitman_yor.score(docs, size, 1, 1).collect()} for size in (1 << 23, 2000))
+    assert whole == cut
+    rows = op8_pitman_yor.score(spark.createDataFrame([(None, "a b", "en", 1, 1), (1, "a b", "en", 1, 1)], COLUMNS), burn_in=1, samples=1).collect()
+    assert {(r.doc_id, r.held_out, r.train_tokens) for r in rows} == {(None, True, 3), (1, False, 3)}
+
+
 def test_plan_fills_sequences_without_gaps():
     for seed in range(5):
         rng = np.random.default_rng(seed)
@@ -311,6 +423,9 @@ def test_shards(spark, docs, none):
     sizes = got.groupby("shard")["size"].sum()
     assert sizes.max() - sizes.min() < 0.02 * sizes.mean()
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    assert all(not r.split for r in got.itertuples() if r.doc_id % 3) and got[got.doc_id % 3 != 0].groupby("text_crc32").shard.nunique().max() == 1
+    texts = {r.doc_id: r.text for r in many.collect()}
+    assert all(zlib.crc32(texts[r.doc_id].encode()) == r.text_crc32 and len(texts[r.doc_id].encode()) + 1 == r.size for r in got.itertuples())
     few = op10_sharding.shard(docs).toPandas()
     assert len(few) == len(ROWS) and few.loc[few.doc_id == 0, "size"].item() == 1
     assert op10_sharding.shard(none).count() == 0
