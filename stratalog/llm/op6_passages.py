@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import release, staged, table
+from .common import discard, release, staged, table
 from .mail import MAIL, cuts, letters, packed, packed_sorted, post, posted, unpacked, unpacked_sorted
 from .words import grams, mixed, word_hashes
 
@@ -256,7 +256,7 @@ def _ranges(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def shared_seeds(docs: DataFrame) -> DataFrame:
     """The seeds (h, doc_id, p, n_words of the text) that more than one document has."""
-    chunks = staged(_chunks(docs), "seeds")
+    chunks = staged(_chunks(docs), "chunks")
     n = chunks.agg(F.sum("n")).first()[0] or 0
     bits = max(0, (n // BUCKET).bit_length())
 
@@ -302,7 +302,9 @@ def shared_seeds(docs: DataFrame) -> DataFrame:
         return pa.concat_tables(out)
 
     answers = chunks.select("chunk", "doc_ids", "hashes", "texts").mapInArrow(asking, MAIL).groupBy("to").applyInArrow(answering, MAIL)
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("to")).applyInArrow(choosing, SEEDS)
+    out = staged(chunks.groupBy("chunk").cogroup(answers.groupBy("to")).applyInArrow(choosing, SEEDS), "seeds")
+    discard(chunks)
+    return out
 
 
 # --- passages -----------------------------------------------------------------------------------------------------------------------------
@@ -444,7 +446,7 @@ def passages(docs: DataFrame, least: int = LEAST, identity: float = IDENTITY) ->
                         best = (start, end, shift)
             yield _rows(rows, (*[pa.int64()] * 6, pa.float64()), ("doc_id", "start", "length", "source_doc_id", "source_start", "source_length", "identity"))
 
-    seeds_ = staged(shared_seeds(docs), "seeds")
+    seeds_ = shared_seeds(docs)
     release(spark)
     # a seed with very many places is dealt into parts, in each of which a place has its last document before
     firsts = seeds_.groupBy("h").agg(F.min(F.struct("doc_id", "p")).alias("f"), F.ceil(F.count("*") / PART).alias("parts"))
@@ -460,6 +462,7 @@ def passages(docs: DataFrame, least: int = LEAST, identity: float = IDENTITY) ->
     del links
     release(spark)
     out = staged(_placed(docs, found, least, identity), "passages")
+    discard(found)
     release(spark)
     if least < K + WINDOW:
         return out
