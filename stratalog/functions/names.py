@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,8 +54,9 @@ def fold_text(text: str) -> str:
 
 
 def fold(name: Column, ascii_only: bool = False) -> Column:
-    """Full case folding within NFC; ASCII names stay in the JVM. ``ascii_only`` promises that there are no others."""
-    return F.lower(name) if ascii_only else F.when(name.rlike(r"[^\x00-\x7F]"), _full_fold(name)).otherwise(F.lower(name))
+    """Full case folding within NFC; names of ASCII alone are lower-cased, and go to Python as nulls. ``ascii_only`` promises that there are no others."""
+    beyond = name.rlike(r"[^\x00-\x7F]")
+    return F.lower(name) if ascii_only else F.when(beyond, _full_fold(F.when(beyond, name))).otherwise(F.lower(name))
 
 
 def word_parts(name: Column) -> Column:
@@ -61,16 +64,72 @@ def word_parts(name: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(name, _STARTS, "\x00$0"), "\x00"), lambda p: p != "")
 
 
+_STARTS_HERE = regex.compile(_STARTS.replace("{Is", "{"))
+
+
+def _tier_beyond_ascii(needle: str):
+    """Tiers of names with other letters, whose words are folded like the name."""
+
+    def one(name: str | None) -> int | None:
+        if name is None:
+            return None
+        folded = fold_text(name)
+        if folded == needle:
+            return 0
+        if folded.startswith(needle):
+            return 1
+        if needle not in folded:
+            return None
+        return 2 if any(fold_text(name[m.start() :]).startswith(needle) for m in _STARTS_HERE.finditer(name)) else 3
+
+    @pandas_udf(T.IntegerType())
+    def tier(s: pd.Series) -> pd.Series:
+        return s.map(one, na_action="ignore").astype("Int32")
+
+    return tier
+
+
 def tier(name: Column, needle: str, ascii_only: bool = False) -> Column:
-    """0 exact, 1 prefix, 2 at the start of a word, 3 anywhere, null: not in it; an empty needle is anywhere in all names."""
+    """0 exact, 1 prefix, 2 at the start of a word, 3 anywhere, null: not in it; an empty needle is anywhere in all names. Names of ASCII alone stay in the JVM."""
     needle = fold_text(needle)
     if not needle:
         return F.lit(3)
-    folded = fold(name, ascii_only)
+    folded = F.lower(name)
     parts = word_parts(name)
-    starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: fold(F.array_join(F.slice(parts, i, F.size(parts)), ""), True))
+    starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.lower(F.array_join(F.slice(parts, i, F.size(parts)), "")))
     at_word = F.when(F.size(parts) > 0, F.exists(starts, lambda x: F.startswith(x, F.lit(needle)))).otherwise(F.lit(False))
-    return F.when(folded == needle, 0).when(folded.startswith(needle), 1).when(folded.contains(needle), F.when(at_word, 2).otherwise(3))
+    plain = F.when(folded.contains(needle), F.when(folded == needle, 0).when(folded.startswith(needle), 1).otherwise(F.when(at_word, 2).otherwise(3)))
+    if ascii_only:
+        return plain
+    beyond = name.rlike(r"[^\x00-\x7F]")
+    return F.when(beyond, _tier_beyond_ascii(needle)(F.when(beyond, name))).otherwise(plain)
+
+
+def fuzzy_words(folded: Column) -> Column:
+    """The words of a folded name: runs of letters and digits."""
+    return F.filter(F.split(folded, r"[^\p{IsAlphabetic}\p{N}]+"), lambda w: w != "")
+
+
+def fuzzy_keys(name: Column, ascii_only: bool = False) -> Column:
+    """The keys by which names that resemble a needle are found: a: and the first characters of 2 to 12 words before the last dot; d: and each word of 3 to 24 characters, and
+    that less any one character."""
+    stem = F.regexp_replace(name, r"(?s)\.[^.]*$", "")
+    firsts = F.filter(F.transform(word_parts(stem), lambda p: F.substring(p, 1, 1)), lambda c: c.rlike(r"[\p{IsAlphabetic}\p{N}]"))
+    acronym = F.when(F.size(firsts) >= 2, F.concat(F.lit("a:"), fold(F.array_join(F.slice(firsts, 1, 12), ""), ascii_only)))
+    words = F.filter(fuzzy_words(fold(name, ascii_only)), lambda w: F.length(w).between(3, 24))
+    near = F.flatten(F.transform(words, lambda w: F.transform(F.array_union(F.array(w), deletions(w)), lambda x: F.concat(F.lit("d:"), x))))
+    return F.array_distinct(F.concat(F.array_compact(F.array(acronym)), near))
+
+
+def resembles(name: Column, needle: str, ascii_only: bool = False) -> Column:
+    """Whether a name has the needle, of 2 to 24 characters, as its acronym, or shares a key with it and has a word at most one edit from it."""
+    needle = fold_text(needle)
+    if not 2 <= len(needle) <= 24:
+        return F.lit(False)
+    keys = fuzzy_keys(name, ascii_only)
+    wanted = sorted({"d:" + needle, *("d:" + needle[:i] + needle[i + 1 :] for i in range(len(needle)))})
+    near = F.arrays_overlap(keys, F.lit(wanted)) & F.exists(fuzzy_words(fold(name, ascii_only)), lambda w: one_edit(w, F.lit(needle)))
+    return F.array_contains(keys, "a:" + needle) | near
 
 
 def extension_after_dot(name: Column) -> Column:
@@ -170,6 +229,43 @@ def seconds(time: Column) -> Column:
 
 
 def scrubbed(text: Column, home: str) -> Column:
-    """The home folder as ~, and other absolute paths of two parts or more as <path>."""
-    own = F.replace(text, F.lit(home), F.lit("~"))
-    return F.regexp_replace(own, r"(?m)(^|[ ])([\"'(\[,]*)(?:[A-Za-z]:[\\/][^ \n]*?|/[^/ \n]+/[^ \n]*?)([\"')\],]*)(?=[ \n]|$)", "$1$2<path>$3")
+    """The home folder as ~, and words that are absolute paths as <path>, whole: words are what single spaces part in each line; quotes, parentheses and commas around
+    one don't count. Paths have a drive letter, or two parts or more."""
+    lines = F.split(F.replace(text, F.lit(home), F.lit("~")), "\r?\n")
+    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    path = lambda w: F.btrim(w, F.lit("\"'`(),")).rlike(r"(?s)^(?:[A-Za-z]:[\\/]|/[^/]*/)")
+    return F.array_join(F.transform(lines, lambda line: F.array_join(F.transform(F.split(line, " "), lambda w: F.when(path(w), "<path>").otherwise(w)), " ")), "\n")
+
+
+def extension_label(name: Column) -> Column:
+    """The first four characters of the extension as capitals."""
+    return F.upper(F.substring(extension(name), 1, 4))
+
+
+def format_modified(t: Column, now: int) -> Column:
+    """How long ago a time in seconds was, in words, UTC; a dash where it is unknown."""
+    then = F.timestamp_seconds(t)
+    days = F.lit(now // 86400) - day(t)
+    this_year = F.date_format(then, "yyyy") == F.lit(datetime.datetime.fromtimestamp(now, datetime.UTC).strftime("%Y"))
+    out = F.when(t.isNull(), "\u2014").when(F.lit(now) - t < 60, "Just now").when(days == 0, F.concat(F.lit("Today at "), F.date_format(then, "h:mm a")))
+    return out.when(days == 1, "Yesterday").when(days < 7, F.date_format(then, "EEEE")).when(this_year, F.date_format(then, "MMM d")).otherwise(F.date_format(then, "MMM d, yyyy"))
+
+
+def format_timestamp(t: Column, day_first: bool = False) -> Column:
+    return F.coalesce(F.date_format(F.timestamp_seconds(t), "d MMM yyyy 'at' h:mm a" if day_first else "MMM d, yyyy 'at' h:mm a"), F.lit("\u2014"))
+
+
+def bucket(name: Column, mtime: Column, by: str) -> Column:
+    """The folder that organizing by kind, extension, month or year puts a file in."""
+    if by == "kind":
+        plural = {"Image": "Images", "Video": "Videos", "Archive": "Archives", "Document": "Documents", "Directory": "Other"}
+        out = kind(name, F.lit(False))
+        return F.coalesce(F.create_map(*[F.lit(x) for kv in plural.items() for x in kv])[out], out)
+    if by == "extension":
+        return F.coalesce(F.upper(extension(name)), F.lit("No extension"))
+    when = F.date_format(F.date_from_unix_date(day(mtime).cast("int")), {"month": "yyyy-MM", "year": "yyyy"}[by])
+    return F.when(mtime >= 0, when).otherwise("Undated")
+
+
+def valid_file_name(name: Column) -> Column:
+    return (name != "") & ~name.rlike(r"[/\\]") & ~name.isin(".", "..")

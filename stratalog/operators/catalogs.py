@@ -2,46 +2,81 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
 
-MOST_LEVELS = 64
+#: Levels above a record that are walked; what hangs deeper, or in a circle, is left out.
+MOST_LEVELS = 4096
+#: Literal hits from which on names that only resemble the needle are not looked for.
+ENOUGH = 10
 
 
-def with_paths(records: DataFrame, levels: int = 4) -> DataFrame:
-    """Adds ``path``; records that reach no root record within ``levels`` have none and are left out.
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the folder of spark.checkpoint.dir; in a temporary one where that is unset, on a master of one JVM only."""
+    context = df.sparkSession.sparkContext
+    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="stratalog-"))
+    return df.checkpoint()
 
-    Each level joins the records still on the way with their parents, so that paths of all records are made in as many joins as the tree is deep.
-    """
-    up = records.where("is_dir").select(F.col("id").alias("_up"), F.col("parent").alias("_next"), F.col("name").alias("_name"))
-    out = records.withColumn("path", F.concat(F.lit("/"), F.col("name"))).withColumn("_at", F.col("parent"))
-    for _ in range(levels - 1):
-        out = out.join(up, F.col("_at") == F.col("_up"), "left")
-        out = out.withColumn("path", F.when(F.col("_at") == 0, F.col("path")).when(F.col("_up").isNotNull(), F.concat(F.lit("/"), F.col("_name"), F.col("path"))))
-        out = out.withColumn("_at", F.when(F.col("_at") == 0, F.lit(0)).otherwise(F.col("_next"))).drop("_up", "_next", "_name")
-    return out.where("_at = 0 and path is not null").drop("_at")
 
+def directories(records: DataFrame) -> DataFrame:
+    """(id, path) of the directories that reach a root record.
 
-def ranked(records: DataFrame, needle: str, where: Column | None = None, limit: int = 100, offset: int = 0, hot: DataFrame | None = None, ascii_only: bool = False) -> DataFrame:
-    """The page of a ranked name search, with ``rank`` from 1: by tier, recent use, folded length, folded name, id. Root records are no hits."""
+    Each step joins every directory with the one that it has come to, which has come as far itself, so that steps double the levels walked; only
+    directories take part, and the plan is cut after every two steps that leave some on the way.
+    """
+    out, levels = records.where("is_dir").select("id", F.col("parent").alias("up"), F.concat(F.lit("/"), "name").alias("path")), 1
+    while True:
+        for _ in range(2):
+            above = out.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+            arrived = F.col("up") == 0
+            out = out.join(above, F.col("up") == F.col("_id"), "left").where(arrived | F.col("_id").isNotNull())
+            out = out.select("id", F.when(arrived, F.lit(0)).otherwise(F.col("_up")).alias("up"), F.when(arrived, F.col("path")).otherwise(F.concat("_path", "path")).alias("path"))
+            levels *= 2
+        if levels >= MOST_LEVELS or out.where("up <> 0").isEmpty():
+            return out.where("up = 0").select("id", "path")
+        out = _cut(out)
+
+
+def with_paths(records: DataFrame) -> DataFrame:
+    """Adds ``path``; records that reach no root record within MOST_LEVELS have none and are left out."""
+    above = directories(records).select(F.col("id").alias("_above"), F.col("path").alias("_path"))
+    out = records.join(above, F.col("parent") == F.col("_above"), "left").where("parent = 0 or _above is not null")
+    return out.withColumn("path", F.concat(F.coalesce("_path", F.lit("")), F.lit("/"), "name")).drop("_above", "_path")
+
+
+def ranked(records: DataFrame, needle: str, where: Column | None = None, limit: int = 100, offset: int = 0, hot: DataFrame | None = None, ascii_only: bool = False, fuzzy: bool = False) -> DataFrame:
+    """The page of a ranked name search, with ``rank`` from 1: by tier, recent use, folded length, folded name, id. Root records are no hits. With ``fuzzy``, names that
+    resemble the needle follow where it has less than ENOUGH literal hits."""
     hits = records.where("parent <> 0")
     if where is not None:
         hits = hits.where(where)
-    hits = hits.withColumn("tier", names.tier(F.col("name"), needle, ascii_only)).where("tier is not null").withColumn("_fold", names.fold(F.col("name"), ascii_only))
+    tier = names.tier(F.col("name"), needle, ascii_only)
+    if fuzzy and names.fold_text(needle) and hits.where(tier.isNotNull()).limit(ENOUGH).count() < ENOUGH:
+        tier = F.coalesce(tier, F.when(names.resembles(F.col("name"), needle, ascii_only), F.lit(names.TIERS.index("fuzzy"))))
+    hits = hits.withColumn("tier", tier).where("tier is not null").withColumn("_fold", names.fold(F.col("name"), ascii_only))
     hits = hits.join(F.broadcast(hot.select("id", "hot").limit(512)), "id", "left") if hot is not None else hits.withColumn("hot", F.lit(None).cast("long"))
     order = [F.col("tier"), F.coalesce("hot", F.lit(0)).desc(), F.octet_length("_fold"), F.col("_fold"), F.col("id")]
     page = hits.orderBy(*order).limit(offset + limit)
     return page.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).where(F.col("rank") > offset).drop("_fold")
 
 
-def live(levels: DataFrame, check_parents: bool = True, depth: int = 4) -> DataFrame:
+def live(levels: DataFrame, check_parents: bool = True) -> DataFrame:
     """The records of ``levels`` (level, op, record columns) as they stand: the newest level of each id, without deleted ones and what hangs below them."""
     columns = [c for c in levels.columns if c not in ("level", "op")]
     newest = levels.groupBy("id").agg(F.max_by(F.struct("op", *[c for c in columns if c != "id"]), "level").alias("_r")).select("id", "_r.*").where("op <> 'delete'").drop("op")
     newest = newest.select(*columns)
-    return with_paths(newest, depth).drop("path") if check_parents else newest
+    if not check_parents:
+        return newest
+    reached = directories(newest).select(F.col("id").alias("parent"))
+    return newest.where("parent = 0").unionByName(newest.join(reached, "parent", "left_semi").select(*columns))
 
 
 def shadowed(older: DataFrame, newer: DataFrame) -> DataFrame:

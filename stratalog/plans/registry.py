@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import names
+from ..functions import grammar, names
 from ..operators import catalogs, mutations, side_tables
 from ..sources.catalog import CATALOG_SQL, PATHS_SQL, catalog, table
 from ..streaming import changes
@@ -274,13 +274,13 @@ _LEVELS_SQL = (
     _CATALOG
     + """, changes AS (
   SELECT (event_id % 2 + 1)::INT AS level, (event_id % 15000 + 1000000000)::BIGINT AS id, arg_max(CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END, event_id) AS op, max(event_id) AS e FROM events GROUP BY 1, 2),
-levels AS (
+levels AS MATERIALIZED (
   SELECT 0 AS level, 'upsert' AS op, * FROM catalog
   UNION ALL SELECT level, op, id, parent, root, 'new_' || name, is_dir, e, mtime FROM changes JOIN (SELECT id, parent, root, name, is_dir, mtime FROM catalog WHERE NOT is_dir) USING (id)
   UNION ALL SELECT 3, 'delete', * FROM catalog WHERE is_dir AND parent >= 1000 AND id % 10 = 3),
-newest AS (SELECT * FROM levels QUALIFY row_number() OVER (PARTITION BY id ORDER BY level DESC) = 1),
-present AS (SELECT * EXCLUDE (level, op) FROM newest WHERE op <> 'delete'),
-live AS (SELECT c.* FROM present c LEFT JOIN present p ON c.parent = p.id LEFT JOIN present g ON p.parent = g.id LEFT JOIN present r ON g.parent = r.id
+newest AS MATERIALIZED (SELECT * FROM levels QUALIFY row_number() OVER (PARTITION BY id ORDER BY level DESC) = 1),
+present AS MATERIALIZED (SELECT * EXCLUDE (level, op) FROM newest WHERE op <> 'delete'),
+live AS MATERIALIZED (SELECT c.* FROM present c LEFT JOIN present p ON c.parent = p.id LEFT JOIN present g ON p.parent = g.id LEFT JOIN present r ON g.parent = r.id
   WHERE c.parent = 0 OR p.parent = 0 OR g.parent = 0 OR r.parent = 0)"""
 )
 
@@ -438,7 +438,9 @@ def _(s, d):
     return table(s, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("host"), F.size(F.filter(F.split(rest, "/"), lambda x: x != "")).cast("long").alias("depth"))
 
 
-@_query("scrub_text")
+@_query("scrub_text", """WITH t AS (SELECT conv_id, turn, string_split_regex(replace(text, '/home/user', '~'), '\\r?\\n') AS x FROM conversations),
+  l AS (SELECT conv_id, turn, CASE WHEN x[-1] = '' THEN x[:-2] ELSE x END AS x FROM t)
+  SELECT conv_id, turn, array_to_string(list_transform(x, lambda y: array_to_string(list_transform(string_split(y, ' '), lambda w: CASE WHEN regexp_matches(trim(w, '"''`(),'), '^([A-Za-z]:[\\\\/]|/[^/]*/)') THEN '<path>' ELSE w END), ' ')), chr(10)) AS text FROM l""")
 def _(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", names.scrubbed(F.col("text"), "/home/user").alias("text"))
 
@@ -543,3 +545,115 @@ def _(s, d):
     stream = s.readStream.schema(log.schema).option("maxFilesPerTrigger", 64).parquet(f"{root}/log")
     changes.ingest(stream, f"{root}/levels", f"{root}/state").awaitTermination()
     return changes.current(s, catalog(s, d), f"{root}/levels").select("id", "name", "size")
+
+
+# --- typed queries, lookups and labels ------------------------------------------------------------------------------------------------------
+
+_NOW = 1785067200  # 2026-07-26, a Sunday
+#: Typed words, and what each is read as: field, comparison and bounds; none for text.
+_WORDS = [
+    ("kind:photo", ("kind", "=", "Image", None)), ("KIND:Docs", ("kind", "=", "Document", None)), ("kind:dir", ("kind", "=", "Directory", None)), ("kind:thing", None), ("ext:.PDF", ("ext", "=", "pdf", None)),
+    ("tag:Work", ("tag", "=", "work", None)), ("size:>2mb", ("size", ">", "2097152", None)), ("size:<=1.5k", ("size", "<=", "1536", None)), ("size:1mb..5MB", ("size", "range", "1048576", "5242880")), ("size:-1", None),
+    ("size:2xb", None), ("size:1024", ("size", "=", "1024", None)), ("size:", None), ("modified:today", ("modified", ">=", "1785024000", None)), ("modified:yesterday", ("modified", "range", "1784937600", "1785023999")),
+    ("modified:week", ("modified", ">=", "1784462400", None)), ("modified:<7d", ("modified", ">", "1784462400", None)), ("modified:>2h", ("modified", "<", "1785060000", None)), ("modified:<1y", None),
+    ("modified:2026-01-01", ("modified", "range", "1767225600", "1767311999")), ("modified:>2026-01-01", ("modified", ">", "1767311999", None)), ("modified:2026-01-01..2026-02-01", ("modified", "range", "1767225600", "1769990399")),
+    ("modified:2026-02-31", ("modified", "range", "1772496000", "1772582399")), ("modified:2026-13-01", None), ("report:2026", None), ("plain", None),
+]
+
+
+def _words_sql() -> str:
+    quoted = lambda x: "NULL" if x is None else f"'{x}'"
+    rows = ", ".join("(" + ", ".join(map(quoted, (w, *(f or (None,) * 4)))) + ")" for w, f in _WORDS)
+    return f"SELECT * FROM (VALUES {rows}) AS t(word, field, op, low, high)"
+
+
+@_query("typed_words", _words_sql())
+def _(s, d):
+    text = lambda x: None if x is None else str(x)
+    found = [(w, grammar.filter_of(w, _NOW)) for w, _ in _WORDS]
+    rows = [(w, *((f.field, f.op, text(f.low), text(f.high)) if f else (None,) * 4)) for w, f in found]
+    return s.createDataFrame(rows, "word string, field string, op string, low string, high string")
+
+
+@_query("typed_search", _ranked_sql("order", f"{_KIND_SQL} = 'Document' AND name LIKE '%.pdf' AND size > 1048576 AND mtime BETWEEN 852076800 AND 883612799"))
+def _(s, d):
+    query = grammar.parsed("order  kind:doc ext:pdf size:>1mb modified:1997-01-01..1997-12-31 kind:docs", _NOW)
+    return _page(catalogs.ranked(catalog(s, d), query.text, query.where(), ascii_only=True))
+
+
+@_query("typed_tags", f"{_TAGS_SQL} SELECT doc_id FROM documents WHERE 'doc:' || doc_id IN (SELECT path FROM tags WHERE lower(tag) IN ('good', 'toxic') GROUP BY path HAVING count(DISTINCT lower(tag)) = 2)")
+def _(s, d):
+    query = grammar.parsed("tag:Good TAG:toxic", _NOW)
+    allowed = side_tables.with_all_tags(_tags(s, d), query.tags)
+    return table(s, d, "documents").withColumn("path", F.concat(F.lit("doc:"), F.col("doc_id"))).join(allowed, "path", "left_semi").select("doc_id")
+
+
+_WORDS_OF_SQL = "list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda w: w <> '')"
+
+
+@_query("ranked_search_fuzzy", f"""{_CATALOG}, hits AS (SELECT id, name FROM catalog WHERE parent <> 0 AND len(list_filter({_WORDS_OF_SQL}, lambda w: levenshtein(w, 'germny') <= 1)) > 0)
+  SELECT row_number() OVER (ORDER BY strlen(name), lower(name), id) AS rank, id, name, 4::INT AS tier FROM hits""")
+def _(s, d):
+    return _page(catalogs.ranked(catalog(s, d), "germny", ascii_only=True, fuzzy=True))
+
+
+@_query("fuzzy_words", f"SELECT DISTINCT p_name AS name FROM (SELECT p_name, lower(p_name) AS name FROM part) WHERE len(list_filter({_WORDS_OF_SQL}, lambda w: len(w) BETWEEN 3 AND 24 AND levenshtein(w, 'bol') <= 1)) > 0")
+def _(s, d):
+    return table(s, d, "part").select(F.col("p_name").alias("name")).distinct().where(names.resembles(F.col("name"), "bol", True))
+
+
+@_query("record_by_id", f"{_CATALOG} SELECT * FROM catalog WHERE id = 1000000007")
+def _(s, d):
+    return catalog(s, d).where("id = 1000000007")
+
+
+@_query("root_records", f"{_CATALOG} SELECT root, id, name FROM catalog WHERE parent = 0")
+def _(s, d):
+    return catalog(s, d).where("parent = 0").select("root", "id", "name")
+
+
+@_query("resolved_paths", f"{_PATHS} SELECT path, id FROM paths WHERE path IN ('/ASIA', '/ASIA/CHINA', '/EUROPE/FRANCE', '/EUROPE/nowhere')")
+def _(s, d):
+    wanted = s.createDataFrame([(x,) for x in ("/ASIA", "/ASIA/CHINA", "/EUROPE/FRANCE", "/EUROPE/nowhere")], "path string")
+    return catalogs.with_paths(catalog(s, d)).join(F.broadcast(wanted), "path").select("path", "id")
+
+
+@_query("new_folders", f"{_PATHS} SELECT path FROM paths WHERE is_dir AND NOT starts_with(path, '/ASIA') GROUP BY path")
+def _(s, d):
+    folders = catalogs.with_paths(catalog(s, d)).where("is_dir").select("path")
+    return folders.distinct().join(folders.where(F.startswith("path", F.lit("/ASIA"))), "path", "left_anti")
+
+
+@_query("extension_labels", f"{_CATALOG} SELECT upper(regexp_extract(name, '\\.([^.]*)$', 1))[:4] AS label, count(*) AS n FROM catalog WHERE NOT is_dir GROUP BY 1")
+def _(s, d):
+    return catalog(s, d).where("not is_dir").groupBy(names.extension_label(F.col("name")).alias("label")).agg(F.count("*").alias("n"))
+
+
+_SEEN = 1706572800  # 2024-01-30
+
+
+@_query("modified_labels", f"""WITH t AS (SELECT event_id, floor(epoch(ts))::BIGINT AS t FROM events), x AS (SELECT *, make_timestamp(t * 1000000) AS moment, {_SEEN // 86400} - floor(t / 86400)::BIGINT AS days FROM t)
+  SELECT event_id, CASE WHEN {_SEEN} - t < 60 THEN 'Just now' WHEN days = 0 THEN strftime(moment, 'Today at %-I:%M %p') WHEN days = 1 THEN 'Yesterday' WHEN days < 7 THEN strftime(moment, '%A') WHEN year(moment) = 2024 THEN strftime(moment, '%b %-d') ELSE strftime(moment, '%b %-d, %Y') END AS label FROM x""")
+def _(s, d):
+    return table(s, d, "events").select("event_id", names.format_modified(F.floor(names.seconds(F.col("ts"))), _SEEN).alias("label"))
+
+
+@_query("timestamp_labels", "SELECT event_id, strftime(ts, '%b %-d, %Y at %-I:%M %p') AS label FROM events")
+def _(s, d):
+    return table(s, d, "events").select("event_id", names.format_timestamp(F.floor(names.seconds(F.col("ts")))).alias("label"))
+
+
+def _organized(by: str, sql: str):
+    @_query(f"organize_by_{by}", f"{_CATALOG} SELECT {sql} AS bucket, count(*) AS n FROM catalog WHERE NOT is_dir GROUP BY 1")
+    def _(s, d):
+        return catalog(s, d).where("not is_dir").groupBy(names.bucket(F.col("name"), F.col("mtime"), by).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+_organized("extension", "upper(regexp_extract(name, '\\.([^.]*)$', 1))")
+_organized("month", "strftime(make_timestamp(mtime * 1000000), '%Y-%m')")
+_organized("year", "strftime(make_timestamp(mtime * 1000000), '%Y')")
+
+
+@_query("valid_file_names", "SELECT page_id, x <> '' AND NOT regexp_matches(x, '[/\\\\]') AND x NOT IN ('.', '..') AS valid FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*/?', '') AS x FROM pages)")
+def _(s, d):
+    return table(s, d, "pages").select("page_id", names.valid_file_name(F.regexp_replace("url", "^[a-z]+://[^/]*/?", "")).alias("valid"))

@@ -47,7 +47,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same records in DuckDB's SQL, for use as the first common table expressions of a query.
 CATALOG_SQL = """
-catalog AS (
+catalog AS MATERIALIZED (
   SELECT (1 + r_regionkey)::BIGINT AS id, 0::BIGINT AS parent, (1 + r_regionkey)::BIGINT AS root, r_name AS name, true AS is_dir, NULL::BIGINT AS size, NULL::BIGINT AS mtime FROM region
   UNION ALL SELECT (1000 + n_nationkey)::BIGINT, (1 + n_regionkey)::BIGINT, (1 + n_regionkey)::BIGINT, n_name, true, NULL, NULL FROM nation
   UNION ALL SELECT 1000000 + c_custkey, (1000 + c_nationkey)::BIGINT, (1 + n_regionkey)::BIGINT, c_name, true, NULL, NULL FROM customer JOIN nation ON c_nationkey = n_nationkey
@@ -60,7 +60,7 @@ catalog AS (
 PATHS_SQL = (
     CATALOG_SQL
     + """,
-paths AS (
+paths AS MATERIALIZED (
   SELECT c.*, CASE WHEN c.parent = 0 THEN '/' || c.name WHEN p.parent = 0 THEN '/' || p.name || '/' || c.name
     WHEN g.parent = 0 THEN '/' || g.name || '/' || p.name || '/' || c.name ELSE '/' || r.name || '/' || g.name || '/' || p.name || '/' || c.name END AS path
   FROM catalog c LEFT JOIN catalog p ON c.parent = p.id LEFT JOIN catalog g ON p.parent = g.id LEFT JOIN catalog r ON g.parent = r.id)"""

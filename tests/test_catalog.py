@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog.functions import names
+from stratalog.functions import grammar, names
 from stratalog.operators import catalogs, mutations, side_tables
 from stratalog.plans import registry
 from stratalog.streaming import changes
@@ -49,6 +49,9 @@ def test_word_starts_and_tiers(spark):
     tiers = {r.name: r.t for r in df.select("name", names.tier(F.col("name"), "http").alias("t")).collect()}
     assert (tiers["http"], tiers["http.txt"], tiers["XMLHttpRequest-test.rs"], tiers["ahttp"]) == (0, 1, 2, 3)
     tiers = {r.name: r.t for r in df.select("name", names.tier(F.col("name"), "STRASSE").alias("t")).collect()}
+    beyond = df.sparkSession.createDataFrame([("a-Straße",), ("École",), ("E\u0301cole",), ("東京.txt",)], "name string")
+    assert [r.t for r in beyond.select(names.tier(F.col("name"), "strasse").alias("t")).collect()] == [2, None, None, None]
+    assert [r.t for r in beyond.select(names.tier(F.col("name"), "école").alias("t")).collect()] == [None, 0, 0, None]
     assert (tiers["Straße"], tiers["STRASSE.txt"], tiers["xstrasse"], tiers["http"]) == (0, 1, 3, None)
 
 
@@ -116,3 +119,28 @@ def test_bursts_and_first_sightings_of_a_stream(spark, tmp_path):
     stream = spark.readStream.schema(seen.schema).parquet(str(tmp_path / "in"))
     changes.first_sightings(stream, "t", "1 hour").writeStream.format("memory").queryName("firsts").trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.operation_id for r in spark.table("firsts").collect()) == ["1", "2"]
+
+
+def test_deep_records_orphans_and_circles(spark):
+    rows = [(1, 0, 1, "top", True)] + [(i, i - 1, 1, f"d{i}", True) for i in range(2, 41)] + [(50, 40, 1, "leaf.txt", False), (60, 99, 1, "orphan", True), (61, 60, 1, "x", False), (70, 71, 1, "a", True), (71, 70, 1, "b", True)]
+    records = spark.createDataFrame(rows, "id long, parent long, root long, name string, is_dir boolean")
+    got = {r.id: r.path for r in catalogs.with_paths(records).collect()}
+    assert set(got) == {*range(1, 41), 50} and got[50] == "/top/" + "/".join(f"d{i}" for i in range(2, 41)) + "/leaf.txt"
+    levels = records.selectExpr("0 as level", "'upsert' as op", "*")
+    gone = levels.where("id = 20").selectExpr("1 as level", "'delete' as op", "id", "parent", "root", "name", "is_dir")
+    assert {r.id for r in catalogs.live(levels.unionByName(gone)).collect()} == set(range(1, 20))
+
+
+def test_scrubbed_words(spark):
+    texts = {"(\"/a/b/c\"),": "<path>", "`/a/b`": "<path>", "//x": "<path>", "[/a/b]": "[/a/b]", "see /etc C:\\x c:/y now\n": "see /etc <path> <path> now", "/home/me/x y\r\nz": "~/x y\nz", "": ""}
+    df = spark.createDataFrame([(k, v) for k, v in texts.items()], "t string, want string")
+    assert [tuple(r) for r in df.select(names.scrubbed(F.col("t"), "/home/me"), "want").collect()] == [(v, v) for v in texts.values()]
+
+
+def test_chips_and_names_that_resemble(spark):
+    raw = "a size:>1k  size:>1024 b kind:zip"
+    assert [w for w, _ in grammar.chips(raw, 0)] == ["size:>1k", "kind:zip"] and grammar.without(raw, "b") == "a size:>1k size:>1024 kind:zip" and grammar.parsed(raw, 0).text == "a b"
+    df = spark.createDataFrame([("XMLHttpRequest.rs",), ("my-report.txt",), ("my-reprot.txt",), ("rapport",), ("École-x",)], "name string")
+    like = lambda q: [r.name for r in df.where(names.resembles(F.col("name"), q)).collect()]
+    assert like("xhr") == ["XMLHttpRequest.rs"] and like("repor") == ["my-report.txt"] and like("ecole") == ["École-x"] and like("x") == []
+
