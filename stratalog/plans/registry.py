@@ -591,10 +591,10 @@ def _(s, d):
 _WORDS_OF_SQL = "list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda w: w <> '')"
 
 
-@_query("ranked_search_fuzzy", f"""{_CATALOG}, hits AS (SELECT id, name FROM catalog WHERE parent <> 0 AND len(list_filter({_WORDS_OF_SQL}, lambda w: levenshtein(w, 'germny') <= 1)) > 0)
+@_query("ranked_search_fuzzy", f"""{_CATALOG}, hits AS (SELECT id, name FROM catalog WHERE parent <> 0 AND len(list_filter({_WORDS_OF_SQL}, lambda w: levenshtein(w, 'natin') <= 1)) > 0)
   SELECT row_number() OVER (ORDER BY strlen(name), lower(name), id) AS rank, id, name, 4::INT AS tier FROM hits""")
 def _(s, d):
-    return _page(catalogs.ranked(catalog(s, d), "germny", ascii_only=True, fuzzy=True))
+    return _page(catalogs.ranked(catalog(s, d), "natin", ascii_only=True, fuzzy=True))
 
 
 @_query("fuzzy_words", f"SELECT DISTINCT p_name AS name FROM (SELECT p_name, lower(p_name) AS name FROM part) WHERE len(list_filter({_WORDS_OF_SQL}, lambda w: len(w) BETWEEN 3 AND 24 AND levenshtein(w, 'bol') <= 1)) > 0")
@@ -612,9 +612,9 @@ def _(s, d):
     return catalog(s, d).where("parent = 0").select("root", "id", "name")
 
 
-@_query("resolved_paths", f"{_PATHS} SELECT path, id FROM paths WHERE path IN ('/ASIA', '/ASIA/CHINA', '/EUROPE/FRANCE', '/EUROPE/nowhere')")
+@_query("resolved_paths", f"{_PATHS} SELECT path, id FROM paths WHERE path IN ('/ASIA', '/ASIA/NATION_2', '/EUROPE/NATION_3', '/EUROPE/nowhere')")
 def _(s, d):
-    wanted = s.createDataFrame([(x,) for x in ("/ASIA", "/ASIA/CHINA", "/EUROPE/FRANCE", "/EUROPE/nowhere")], "path string")
+    wanted = s.createDataFrame([(x,) for x in ("/ASIA", "/ASIA/NATION_2", "/EUROPE/NATION_3", "/EUROPE/nowhere")], "path string")
     return catalogs.with_paths(catalog(s, d)).join(F.broadcast(wanted), "path").select("path", "id")
 
 
