@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import functools
+import gc
 import re
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -79,8 +81,8 @@ def numbered(df: DataFrame, groups: list[str], order: list[str], into: str, rows
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished, staged steps now, not when the driver next happens to collect its garbage."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark drop the shuffle files of finished, staged steps now, not when the driver next happens to collect its garbage; its cleaner has a moment for that."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)

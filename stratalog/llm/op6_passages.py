@@ -14,7 +14,8 @@ A passage whose parts stand in several other documents may have links to none th
 could hold LEAST equal words outside its passages so far, all documents with these seeds give the hashes of their runs of LEAST words there, and
 each run is linked to the first document that has it whole. So exact repeats of LEAST words are found wherever else their parts stand.
 
-Words are what spaces, tabs and line ends part, lower-cased, and are told apart by 64-bit hashes. Nulls and texts of fewer than K words have no seeds. Rows without a
+Words are what spaces, tabs and line ends part, lower-cased, and are told apart by 64-bit hashes, within
+an alignment by 40 bits of them. Nulls and texts of fewer than K words have no seeds. Rows without a
 doc_id are neither searched nor sources. Rows that repeat a doc_id count as one document, that whose text has the least hash. Texts of any length go
 whole. An empty table gives no rows; other columns are ignored.
 """
@@ -326,6 +327,17 @@ def _offsets(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten()
 
 
+def _short(words: np.ndarray) -> bytes:
+    """The lowest 40 bits of words' hashes, by which an alignment tells words apart."""
+    return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def _chained(batches):
     """Chains of the links of pairs of documents."""
     for batch in batches:
@@ -363,7 +375,7 @@ def _aligned(docs: DataFrame, found: DataFrame, least: int, identity: float, mar
                 for x in needs.as_py():
                     at = x["chain"][x["side"] :: 2]
                     low, high = max(0, at[0] - spare), at[-1] + K + spare
-                    out.append((x["doc_id"], x["other"], x["p"], x["a"], x["chain"] if x["side"] == 0 else None, x["side"], version, low, len(words), words[low:high].astype(np.uint64).tobytes()))
+                    out.append((x["doc_id"], x["other"], x["p"], x["a"], x["chain"] if x["side"] == 0 else None, x["side"], version, low, len(words), _short(words[low:high])))
                     held += len(out[-1][-1])
                 if held > 1 << 24:
                     yield _rows(out, kinds, names)
@@ -374,7 +386,7 @@ def _aligned(docs: DataFrame, found: DataFrame, least: int, identity: float, mar
         for batch in batches:
             out = []
             for x in batch.to_pylist():
-                (low, total, here), (low_, total_, there) = ((s["low"], s["n_words"], np.frombuffer(s["words"], np.uint64)) for s in (x["here"], x["there"]))
+                (low, total, here), (low_, total_, there) = ((s["low"], s["n_words"], _long(s["words"])) for s in (x["here"], x["there"]))
                 chain = list(zip(x["chain"][::2], x["chain"][1::2]))
                 start, n, at, m, share, left, right = aligned([(p - low, a - low_) for p, a in chain], here, there)
                 # the slices' ends settle nothing unless they are ends of a text
@@ -393,6 +405,7 @@ def _aligned(docs: DataFrame, found: DataFrame, least: int, identity: float, mar
 def _placed(docs: DataFrame, found: DataFrame, least: int, identity: float) -> DataFrame:
     """Passages of chains."""
     first = staged(_aligned(docs, found, least, identity, MARGIN), "aligned")
+    discard(found)
     release(docs.sparkSession)
     again = first.where("chain is not null").select("doc_id", F.col("source_doc_id").alias("other"), F.col("chain")[0].cast("long").alias("p"), F.col("chain")[1].cast("long").alias("a"), "chain")
     return first.where("chain is null").unionByName(_aligned(docs, again, least, identity, None)).drop("chain").distinct()
@@ -462,7 +475,6 @@ def passages(docs: DataFrame, least: int = LEAST, identity: float = IDENTITY) ->
     del links
     release(spark)
     out = staged(_placed(docs, found, least, identity), "passages")
-    discard(found)
     release(spark)
     if least < K + WINDOW:
         return out
