@@ -70,3 +70,17 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
                     root[i] = root[j] = min(root[i], root[j])
     assert {r.doc_id for r in stage("n-gram Jaccard join")(spark, good, sf).collect()} == {i for i in texts if root[i] == i}
     assert {r.doc_id for r in op1_chosen_path.join(good).where("stays").collect()} == {i for i in texts if root[i] == i}
+
+
+def test_token_files_of_rows_without_ids(spark):
+    from tokenizers import Tokenizer
+
+    from stratalog.llm import op2_token_files
+    from stratalog.llm.tokens import vocabulary_path
+
+    rows = [(None, "a b", "en", "web", 3), (None, None, "en", "web", 0), (7, "c <|endoftext|> d", "en", "web", 3), (7, "", "en", "web", 0)]
+    got = op2_token_files.read(op2_token_files.write(spark.createDataFrame(rows, COLUMNS), vocabulary_path("byte_bpe_50k.json"))).collect()
+    library = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
+    want = [(str(i), len(library.encode(t or "", add_special_tokens=False).ids) + 1) for i, t, *_ in rows]
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted(want)
+    assert max(r.start for r in got if r.doc_id is None) < min(r.start for r in got if r.doc_id)
