@@ -269,3 +269,26 @@ def bucket(name: Column, mtime: Column, by: str) -> Column:
 
 def valid_file_name(name: Column) -> Column:
     return (name != "") & ~name.rlike(r"[/\\]") & ~name.isin(".", "..")
+
+
+def nearest(word: str, vocabulary: list[str]) -> str | None:
+    """The one word of a vocabulary within one edit, two from eight characters on, that is closest. Of several only one that alone begins with the same letter; none where the
+    word itself is there."""
+    limit = 2 if len(word) >= 8 else 1
+    far = {v: swaps_distance(word, v, limit) for v in dict.fromkeys(vocabulary) if abs(len(v) - len(word)) <= limit}
+    least = min(far.values(), default=limit + 1)
+    if not 0 < least <= limit:
+        return None
+    close = [v for v, d in far.items() if d == least]
+    same = [v for v in close if v[:1].lower() == word[:1].lower()]
+    return close[0] if len(close) == 1 else same[0] if len(same) == 1 else None
+
+
+def nearest_of(vocabulary: list[str]):
+    """``nearest`` on a column, for a vocabulary of a grammar's size; give it distinct words."""
+
+    @pandas_udf(T.StringType())
+    def found(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else nearest(x, vocabulary))
+
+    return found

@@ -134,3 +134,11 @@ def listing(entries: DataFrame, by: str = "name", descending: bool = False, dire
     keys = {"name": [F.lower("name")], "size": [F.coalesce("size", F.lit(0))], "modified": [F.col("mtime")], "kind": [rank, names.extension_after_dot(F.col("name"))]}[by]
     order = ([F.col("is_dir").desc()] if directories_first else []) + [k.desc_nulls_last() if descending else k.asc_nulls_first() for k in keys]
     return entries.withColumn("position", F.row_number().over(Window.partitionBy("parent").orderBy(*order, F.lower("name"), F.col("id"))).cast("long"))
+
+
+def folders_like(folders: DataFrame, name: str, most: int = 3) -> DataFrame:
+    """The closest folders by spelling: names within two edits or a third of the name's bytes, nearest first, then by name."""
+    limit = max(2, len(name.encode()) // 3)
+    lengths = F.length("name").between(len(name) - limit, len(name) + limit)
+    near = folders.where(lengths).select("name").distinct().where(F.levenshtein(F.lower("name"), F.lit(name.lower()), 2 * limit) >= 0)
+    return near.select(names.swaps_distance_to(name, limit)("name").alias("distance"), "name").where(F.col("distance") <= limit).orderBy("distance", "name").limit(most)

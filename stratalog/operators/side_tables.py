@@ -40,3 +40,32 @@ def recent(visits: DataFrame, most: int = 20) -> DataFrame:
     """The paths opened last, newest first, with their ``position``."""
     last = visits.groupBy("path").agg(F.max("t").alias("last_opened")).orderBy(F.desc("last_opened"), "path").limit(most)
     return last.withColumn("position", F.row_number().over(Window.orderBy(F.desc("last_opened"), "path")).cast("long"))
+
+
+#: Colours by their number in a system tag, which decide results.
+COLOURS = ("Grey", "Green", "Purple", "Blue", "Yellow", "Red", "Orange")
+
+
+def system_tag(entry: Column) -> Column:
+    """Name and colour of a system's tag, whose last line is a number up to 7; 0 and entries without one have no colour."""
+    number = F.regexp_extract(entry, r"(?s)^.*\n\+?0*([0-7])$", 1)
+    colours = F.array(*[F.lit(c) for c in COLOURS])
+    numbered = F.struct(F.regexp_extract(entry, r"(?s)^(.*)\n[^\n]*$", 1).alias("name"), F.get(colours, number.try_cast("int") - 1).alias("color"))
+    return F.when(number != "", numbered).otherwise(F.struct(entry.alias("name"), F.lit(None).cast("string").alias("color")))
+
+
+def with_tag(tags: Column, new: Column, replacing: Column | None = None) -> Column:
+    """An array of tags (structs of name and color) with a new one: in the place of the first of the name replaced, else at the end; no other tag has its name."""
+    others = lambda part: F.filter(part, lambda t: t["name"] != new["name"])
+    if replacing is None:
+        return F.concat(others(tags), F.array(new))
+    at = F.array_position(F.transform(tags, lambda t: t["name"]), replacing).cast("int")
+    before = others(F.slice(tags, 1, F.greatest(at - 1, F.lit(0))))
+    after = F.filter(F.slice(tags, at + 1, F.size(tags)), lambda t: (t["name"] != new["name"]) & (t["name"] != replacing))
+    return F.when(at > 0, F.concat(before, F.array(new), after)).otherwise(F.concat(others(tags), F.array(new)))
+
+
+def without_tag(tags: Column, name: Column | None = None) -> Column:
+    """The array without tags of a name, whatever the case of its ASCII letters; without a name, empty."""
+    ascii_lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.filter(tags, lambda t: F.lit(False) if name is None else ascii_lower(t["name"]) != ascii_lower(name))

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import grammar, names
+from ..functions import addresses, grammar, names, patterns
 from ..operators import catalogs, mutations, side_tables
 from ..sources.catalog import CATALOG_SQL, PATHS_SQL, catalog, table
 from ..streaming import changes
@@ -657,3 +657,118 @@ _organized("year", "strftime(make_timestamp(mtime * 1000000), '%Y')")
 @_query("valid_file_names", "SELECT page_id, x <> '' AND NOT regexp_matches(x, '[/\\\\]') AND x NOT IN ('.', '..') AS valid FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*/?', '') AS x FROM pages)")
 def _(s, d):
     return table(s, d, "pages").select("page_id", names.valid_file_name(F.regexp_replace("url", "^[a-z]+://[^/]*/?", "")).alias("valid"))
+
+
+@_query("percent_codes", "SELECT conv_id, turn, url_encode(text) AS code, text AS back FROM conversations")
+def _(s, d):
+    code = addresses.percent_encode(F.col("text"))
+    return table(s, d, "conversations").select("conv_id", "turn", code.alias("code"), addresses.percent_decode(code).alias("back"))
+
+
+@_query("page_codes", "SELECT page_id, url_encode(html) AS code, html AS back FROM pages")
+def _(s, d):
+    code = addresses.percent_encode(F.col("html"))
+    return table(s, d, "pages").select("page_id", code.alias("code"), addresses.percent_decode(code).alias("back"))
+
+
+_MOUNTED_SQL = """WITH t AS (SELECT c_custkey AS line, c_nationkey AS machine, c_custkey % 4 AS k, c_custkey % 3 AS disk, c_mktsegment AS m FROM customer),
+  kept AS (SELECT *, row_number() OVER (PARTITION BY machine, m ORDER BY line) AS place FROM t WHERE k <> 0)"""
+
+
+def _mount_lines(s, d):
+    k, disk, m = F.col("c_custkey") % 4, (F.col("c_custkey") % 3).cast("string"), F.col("c_mktsegment")
+    source = F.when(k == 0, "proc").when(k == 1, F.concat(F.lit("/dev/sd"), disk)).when(k == 2, F.concat(F.lit("//me@nas/disk\\040"), disk)).otherwise(F.concat(F.lit("srv:/export/"), disk))
+    kind = F.when(k == 0, "proc").when(k == 1, "ext4").when(k == 2, "cifs").otherwise("nfs4")
+    text = F.concat_ws(" ", source, F.concat(F.lit("/media/a\\040"), m, F.lit("\\134")), kind, F.lit("rw 0 0"))
+    return table(s, d, "customer").select(F.col("c_nationkey").alias("machine"), F.col("c_custkey").alias("line"), text.alias("text"))
+
+
+@_query("mount_table", f"""{_MOUNTED_SQL} SELECT machine, line, '/media/a ' || m || '\\' AS mount,
+  CASE k WHEN 1 THEN '/dev/sd' || disk WHEN 2 THEN '//me@nas/disk ' || disk ELSE 'srv:/export/' || disk END AS source, CASE k WHEN 1 THEN 'ext4' WHEN 2 THEN 'cifs' ELSE 'nfs4' END AS type
+  FROM kept WHERE place = 1""")
+def _(s, d):
+    return addresses.mounts(_mount_lines(s, d), ("machine",))
+
+
+@_query("mounted_shares", f"""{_MOUNTED_SQL} SELECT machine, line, CASE k WHEN 2 THEN 'smb' ELSE 'nfs' END AS protocol, CASE k WHEN 2 THEN 'nas' ELSE 'srv' END AS host,
+  CASE k WHEN 2 THEN 'me' END AS "user", CASE k WHEN 2 THEN 'disk ' || disk ELSE 'export/' || disk END AS below FROM kept WHERE place = 1 AND k <> 1""")
+def _(s, d):
+    found = addresses.mounts(_mount_lines(s, d), ("machine",)).withColumn("a", addresses.mounted_share(F.col("source"), F.col("type"))).where("a is not null")
+    return found.select("machine", "line", "a.protocol", "a.host", "a.user", F.array_join("a.segments", "/").alias("below"))
+
+
+@_query("share_addresses", """SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS host, CASE WHEN page_id % 2 = 0 THEN 'ann b' END AS "user",
+  array_to_string(list_filter(string_split(regexp_replace(url, '^[a-z]+://[^/]*', ''), '/'), lambda x: x <> ''), '|') AS segments FROM pages
+  WHERE len(list_filter(string_split(regexp_replace(url, '^[a-z]+://[^/]*', ''), '/'), lambda x: x <> '')) > 0 AND NOT contains(url, '%') AND NOT regexp_matches(url, '^[a-z]+://[^/]*@')""")
+def _(s, d):
+    user = F.when(F.col("page_id") % 2 == 0, "ann%20b@").otherwise("@")
+    text = F.concat(F.lit(" SMB://"), user, F.regexp_replace("url", "^[a-z]+://", ""))
+    pages = table(s, d, "pages").where("not contains(url, '%') and not url rlike '^[a-z]+://[^/]*@'").withColumn("a", addresses.share(text)).where("a is not null")
+    return pages.select("page_id", "a.host", "a.user", F.array_join("a.segments", "|").alias("segments"))
+
+
+@_query("rename_by_pattern", f"""{_PATHS} SELECT path AS source, regexp_replace(name, '\\.[^.]*$', '') || '-' || lpad(row_number() OVER (PARTITION BY parent ORDER BY path)::VARCHAR,
+  len((count(*) OVER (PARTITION BY parent))::VARCHAR)::INT, '0') || '.' || regexp_extract(name, '\\.([^.]*)$', 1) AS name FROM paths WHERE NOT is_dir AND starts_with(path, '/EUROPE/')""")
+def _(s, d):
+    pattern = patterns.parsed("{name}-{ N }.{ext}")
+    files = catalogs.with_paths(catalog(s, d)).where(names.path_under(F.col("path"), "/EUROPE") & ~F.col("is_dir"))
+    folder = Window.partitionBy("parent")
+    numbered = files.select("path", "name", F.row_number().over(folder.orderBy("path")).alias("n"), F.length(F.count("*").over(folder).cast("string")).alias("width"))
+    return numbered.select(F.col("path").alias("source"), pattern.render(F.col("name"), F.col("n"), F.col("width")).alias("name"))
+
+
+_VOCABULARY = ("bolt", "blot", "widget", "gizmo", "gear", "ring", "small", "large", "green", "blue")
+
+
+@_query("nearest_words", f"""WITH words AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS w FROM part), typed AS (SELECT w[2] || w[1] || w[3:] AS word FROM words),
+  far AS (SELECT word, v, damerau_levenshtein(word, v) AS d, v[1] = word[1] AS same FROM typed, (SELECT unnest({list(_VOCABULARY)}) AS v)),
+  least AS (SELECT *, min(d) OVER (PARTITION BY word) AS least FROM far),
+  close AS (SELECT word, count(*) AS n, min(v) AS v, count(*) FILTER (same) AS n_same, min(v) FILTER (same) AS v_same FROM least
+    WHERE d = least AND d > 0 AND d <= CASE WHEN len(word) >= 8 THEN 2 ELSE 1 END GROUP BY word)
+  SELECT t.word, CASE WHEN n = 1 THEN v WHEN n_same = 1 THEN v_same END AS nearest FROM typed t LEFT JOIN close c ON t.word = c.word""")
+def _(s, d):
+    words = table(s, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")).distinct()
+    typed = words.select(F.concat(F.substring("w", 2, 1), F.substring("w", 1, 1), F.substr("w", F.lit(3))).alias("word"))
+    return typed.withColumn("nearest", names.nearest_of(list(_VOCABULARY))("word"))
+
+
+@_query("folders_like", f"""{_CATALOG}, x AS (SELECT DISTINCT name, damerau_levenshtein(lower(name), 'natoin_1') AS distance FROM catalog WHERE is_dir)
+  SELECT distance::INT AS distance, name FROM x WHERE distance <= 2 ORDER BY distance, name LIMIT 3""")
+def _(s, d):
+    return catalogs.folders_like(catalog(s, d).where("is_dir"), "natoin_1")
+
+
+_TAG_SETS_SQL = "SELECT doc_id, array_to_string(list_concat(list_filter([CASE quality WHEN 1 THEN 'Good' ELSE 'Low' END, CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL), ['New:Red']), ',') AS tags FROM labels"
+
+
+def _tag_sets(s, d):
+    tag = lambda name: F.struct(name.alias("name"), F.lit(None).cast("string").alias("color"))
+    named = F.array(F.when(F.col("quality") == 1, "Good").otherwise("Low"), F.when(F.col("toxic") == 1, "toxic"))
+    return table(s, d, "labels").select("doc_id", F.transform(F.filter(named, lambda n: n.isNotNull()), tag).alias("tags"))
+
+
+def _tags_shown(tags):
+    return F.array_join(F.transform(tags, lambda t: F.concat_ws(":", t["name"], t["color"])), ",")
+
+
+@_query("tags_added", _TAG_SETS_SQL)
+def _(s, d):
+    new = side_tables.system_tag(F.lit("New\n6"))
+    return _tag_sets(s, d).select("doc_id", _tags_shown(side_tables.with_tag(F.col("tags"), new)).alias("tags"))
+
+
+@_query("tags_replaced", "SELECT doc_id, 'toxic:Grey' AS tags FROM labels WHERE quality = 0")
+def _(s, d):
+    new = side_tables.system_tag(F.lit("toxic\n1"))
+    low = _tag_sets(s, d).join(table(s, d, "labels").where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    return low.select("doc_id", _tags_shown(side_tables.with_tag(F.col("tags"), new, F.lit("Low"))).alias("tags"))
+
+
+@_query("tags_removed", "SELECT doc_id, CASE WHEN quality = 1 THEN 'Good' ELSE 'Low' END AS tags FROM labels")
+def _(s, d):
+    return _tag_sets(s, d).select("doc_id", _tags_shown(side_tables.without_tag(F.col("tags"), F.lit("TOXIC"))).alias("tags"))
+
+
+@_query("retry_delays", "SELECT event_id, least(30 * pow(2, event_id % 40), 900)::BIGINT AS delay FROM events")
+def _(s, d):
+    return table(s, d, "events").select("event_id", changes.retry_delay(F.col("event_id") % 40 + 1).alias("delay"))

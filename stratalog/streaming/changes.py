@@ -6,7 +6,7 @@ number and overwrites what an ended attempt left there, so a batch that runs aga
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -51,3 +51,8 @@ def bursts(events: DataFrame, key: str, time: str, gap: str, late: str) -> DataF
 def first_sightings(operations: DataFrame, time: str, late: str) -> DataFrame:
     """Each operation_id once, remembered for as long as ``late``."""
     return operations.withWatermark(time, late).dropDuplicatesWithinWatermark(["operation_id"])
+
+
+def retry_delay(failures: Column, first: int = 30, most: int = 900) -> Column:
+    """Seconds to wait after so many failures in a row: they double up to a limit."""
+    return F.least(F.lit(first) * F.pow(F.lit(2.0), F.least(failures - 1, F.lit(30))), F.lit(most)).cast("long")

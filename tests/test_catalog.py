@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog.functions import grammar, names
+from stratalog.functions import addresses, grammar, names, patterns
 from stratalog.operators import catalogs, mutations, side_tables
 from stratalog.plans import registry
 from stratalog.streaming import changes
@@ -144,3 +144,42 @@ def test_chips_and_names_that_resemble(spark):
     like = lambda q: [r.name for r in df.where(names.resembles(F.col("name"), q)).collect()]
     assert like("xhr") == ["XMLHttpRequest.rs"] and like("repor") == ["my-report.txt"] and like("ecole") == ["École-x"] and like("x") == []
 
+
+
+def test_shares_mounts_and_codes(spark):
+    texts = [r" \\nas\share\\a ", r"\\?\C:\x", r"\\nas", "smb://me@nas/a%20b/", "cifs://@nas/a", "nfs://nas", "smb://nas", "smb://nas/%zz", "smb://%ff/a", "//nas/a", "http://nas/a", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", addresses.share(F.col("t")).alias("a"))
+    found = {r.i: r.a and tuple(r.a) for r in df.collect()}
+    assert found[0] == ("smb", "nas", None, ["share", "a"]) and found[3] == ("smb", "nas", "me", ["a b"]) and found[4] == ("smb", "nas", None, ["a"])
+    assert found[5] == ("nfs", "nas", None, []) and all(found[i] is None for i in (1, 2, 6, 7, 8, 9, 10, 11, 12))
+    sources = [("//DOM;me@nas/a%20b", "smbfs"), ("//nas/a%20b", "cifs"), ("[fe80::1]:/x/y", "nfs4"), ("/dev/sda", "ext4"), ("//nas", "cifs")]
+    got = spark.createDataFrame(sources, "s string, k string").select(addresses.mounted_share(F.col("s"), F.col("k")).alias("a")).collect()
+    assert [r.a and tuple(r.a) for r in got] == [("smb", "nas", "me", ["a b"]), ("smb", "nas", None, ["a%20b"]), ("nfs", "fe80::1", None, ["x", "y"]), None, None]
+    lines = [(1, "/dev/a /m\\040x ext4 rw"), (2, "/dev/b /m\\040x ext4 rw"), (3, "proc /proc proc"), (4, "short line"), (5, ""), (6, "x\\\\040y /n\\303\\251\\9 fuse.sshfs"), (7, None)]
+    got = addresses.mounts(spark.createDataFrame(lines, "line int, text string")).collect()
+    assert {(r.line, r.source, r.mount) for r in got} == {(1, "/dev/a", "/m x"), (6, "x\\ y", "/né\\9")}
+    codes = spark.createDataFrame([("a%41+",), ("%",), ("%4",), ("%c3%a9",), ("%c3",), ("",), (None,)], "t string").select(addresses.percent_decode(F.col("t")).alias("x"))
+    assert [r.x for r in codes.collect()] == ["aA+", None, None, "é", None, "", None]
+
+
+def test_name_patterns(spark):
+    assert [patterns.parsed(t) for t in ("", "{nmae}", "a{n", "a}b", "{n}}")] == [None] * 5
+    assert patterns.parsed("{ Name }").varies and not patterns.parsed("x.{ext}").varies
+    df = spark.createDataFrame([("a.tar.gz",), (".bashrc",), ("a.",), ("plain",)], "name string")
+    got = df.select(patterns.parsed("{n}-{name}|{ext}").render(F.col("name"), F.lit(123), F.lit(2)).alias("x")).collect()
+    assert [r.x for r in got] == ["123-a.tar|gz", "123-.bashrc|", "123-a|", "123-plain|"]
+
+
+def test_nearest_words():
+    assert names.nearest("pitcures", ["pictures", "music"]) == "pictures" and names.nearest("music", ["music", "musics"]) is None
+    assert names.nearest("cot", ["cat", "dot"]) == "cat" and names.nearest("cot", ["cat", "cut"]) is None and names.nearest("cot", ["dot", "got"]) is None
+
+
+def test_tag_sets(spark):
+    df = spark.createDataFrame([([("a", "Red"), ("b", None), ("a", None), ("c", None)],), ([],)], "tags array<struct<name:string,color:string>>")
+    tag = lambda x: side_tables.system_tag(F.lit(x))
+    shown = lambda c: [[(t.name, t.color) for t in r[0]] for r in df.select(c).collect()]
+    assert shown(side_tables.with_tag(F.col("tags"), tag("b\n2"))) == [[("a", "Red"), ("a", None), ("c", None), ("b", "Green")], [("b", "Green")]]
+    assert shown(side_tables.with_tag(F.col("tags"), tag("c\n0"), F.lit("a"))) == [[("c", None), ("b", None)], [("c", None)]]
+    assert shown(side_tables.with_tag(F.col("tags"), tag("x\n8"), F.lit("no")))[1] == [("x\n8", None)]
+    assert shown(side_tables.without_tag(F.col("tags"), F.lit("A")))[0] == [("b", None), ("c", None)] and shown(side_tables.without_tag(F.col("tags"))) == [[], []]
