@@ -87,3 +87,10 @@ def mounted_share(source: Column, kind: Column) -> Column:
     smb = F.when(F.startswith(source, F.lit("//")), _address(F.lit("smb"), user, parts, kind == "smbfs"))
     nfs = F.when(F.contains(source, F.lit(":/")), _address(F.lit("nfs"), F.lit(None).cast("string"), F.concat(F.array(host), export), F.lit(False)))
     return F.when(kind.isin("cifs", "smb3", "smbfs"), smb).when(kind.isin("nfs", "nfs4"), nfs)
+
+
+def bookmarks(lines: DataFrame) -> DataFrame:
+    """Local paths of bookmark lines (columns line and text, a coded file:// address and perhaps a label), each with its first line; other addresses and unsound codes give none."""
+    path = percent_decode(F.regexp_extract("text", "^file://([^ ]*)", 1))
+    found = lines.where(F.startswith("text", F.lit("file://"))).select("line", path.alias("path")).where("path is not null")
+    return found.groupBy("path").agg(F.min("line").alias("line"))

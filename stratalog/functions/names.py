@@ -292,3 +292,42 @@ def nearest_of(vocabulary: list[str]):
         return s.map(lambda x: None if x is None else nearest(x, vocabulary))
 
     return found
+
+
+# Descriptions of extensions and the names of plain texts that have none, which decide results.
+DESCRIPTIONS = {
+    "md": "Markdown", "txt": "Plain Text", "rs": "Rust Source", "py": "Python Source", "js": "JavaScript", "jsx": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript",
+    "json": "JSON", "toml": "TOML", "yaml": "YAML", "yml": "YAML", "html": "HTML", "css": "CSS", "sh": "Shell Script", "lock": "Lock File", "pdf": "PDF Document",
+}
+PLAIN_TEXTS = ("LICENSE", "LICENCE", "README", "CHANGELOG", "AUTHORS", "NOTICE", "COPYING")
+
+
+def described(name: Column, is_dir: Column) -> Column:
+    """What a record is, in words."""
+    has = name.rlike(r"(?s)^.+\.[^.]*$")
+    ext = F.lower(F.regexp_extract(name, r"(?s)\.([^.]*)$", 1))
+    plain = F.upper(F.regexp_extract(name, "(?s)^([^-_]*)", 1)).isin(*PLAIN_TEXTS)
+    known = F.create_map(*[F.lit(x) for kv in DESCRIPTIONS.items() for x in kv])[ext]
+    words = F.create_map(*[F.lit(x) for kv in {"Image": "Image", "Video": "Video", "Audio": "Audio", "Archive": "Archive", "Code": "Source", "Document": "Document"}.items() for x in kv])
+    other = F.concat_ws(" ", F.upper(ext), F.coalesce(words[kind(F.concat(F.lit("x."), ext), F.lit(False))], F.lit("File")))
+    return F.when(is_dir, "Folder").when(~has, F.when(plain, "Plain Text").otherwise("File")).otherwise(F.coalesce(known, other))
+
+
+def weekday(day_number: Column) -> Column:
+    """0 on Sundays, of days since 1970."""
+    return F.pmod(day_number + 4, F.lit(7))
+
+
+def previous_weekday(day_number: Column, wanted: int) -> Column:
+    """The last day of that name before a day; a week before a day of the name itself."""
+    return day_number - 1 - F.pmod(weekday(day_number) - wanted - 1, F.lit(7))
+
+
+def last_weekend(day_number: Column) -> Column:
+    """The Saturday of the last weekend that is over."""
+    return F.when(weekday(day_number) == 0, day_number - 8).otherwise(previous_weekday(day_number, 6))
+
+
+def used_fraction(total: Column, free: Column) -> Column:
+    """The used part of a volume; 0 where its size is 0 or unknown."""
+    return F.coalesce(F.when(total > 0, F.greatest(total - free, F.lit(0)) / total), F.lit(0.0)).cast("float")

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..functions.patterns import NamePattern
 
 #: Variants of a name that are tried; beyond, the name stays as it is.
 MOST_VARIANTS = 10_000
@@ -106,3 +107,39 @@ def widened(wanted: DataFrame, present: DataFrame) -> DataFrame:
     """(path, scope): for each distinct path of ``wanted`` the longest of itself and its ancestors that is ``present``; paths outside all of these are left out."""
     chain = wanted.select("path").distinct().select("path", F.explode(F.array_append(F.array_compact(ancestors(F.col("path"))), F.col("path"))).alias("scope"))
     return chain.join(present.select(F.col("path").alias("scope")), "scope", "left_semi").groupBy("path").agg(F.max_by("scope", F.length("scope")).alias("scope"))
+
+
+MOST_OPERATIONS = 1000
+
+
+class Refused(ValueError):
+    """Why a plan is not made."""
+
+
+def renamed(files: DataFrame, pattern: NamePattern) -> DataFrame:
+    """source, name and unchanged (which are skipped) of a batch of files in the order of their paths. Batches of none or of more than MOST_OPERATIONS files are refused, as are
+    patterns that give all files one name, names that can't be and two files of one new path. The batch is read once, at most one row more than the limit."""
+    rows = files.select("path").limit(MOST_OPERATIONS + 1).collect()
+    count = len(rows)
+    if not count:
+        raise Refused("no matches")
+    if count > MOST_OPERATIONS:
+        raise Refused("too many")
+    if count > 1 and not pattern.varies:
+        raise Refused("one name for all")
+    batch = files.sparkSession.createDataFrame(rows, "path string")
+    n = F.row_number().over(Window.orderBy("path"))
+    name = pattern.render(leaf(F.col("path")), n, F.lit(len(str(count))))
+    made = batch.withColumn("name", name).withColumn("unchanged", F.col("name") == leaf(F.col("path")))
+    folder = F.regexp_replace("path", "[^/]*$", "")
+    faults = made.agg(
+        F.count_if(~names.valid_file_name(F.col("name"))).alias("invalid"),
+        F.count_if("unchanged").alias("same"),
+        (F.count("*") - F.count_distinct(F.concat(folder, F.col("name")))).alias("collisions"),
+    ).first()
+    for fault, why in (("invalid", "invalid name"), ("collisions", "collision")):
+        if faults[fault]:
+            raise Refused(why)
+    if faults["same"] == count:
+        raise Refused("nothing to do")
+    return made.select(F.col("path").alias("source"), "name", "unchanged")

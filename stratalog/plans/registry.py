@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import addresses, grammar, names, patterns
+from ..functions import addresses, areas, grammar, names, patterns
 from ..operators import catalogs, mutations, side_tables
 from ..sources.catalog import CATALOG_SQL, PATHS_SQL, catalog, table
 from ..streaming import changes
@@ -772,3 +772,64 @@ def _(s, d):
 @_query("retry_delays", "SELECT event_id, least(30 * pow(2, event_id % 40), 900)::BIGINT AS delay FROM events")
 def _(s, d):
     return table(s, d, "events").select("event_id", changes.retry_delay(F.col("event_id") % 40 + 1).alias("delay"))
+
+
+@_query("indexed_records", f"""{_PATHS} SELECT id, path FROM paths WHERE NOT starts_with(path || '/', '/ASIA/') AND NOT starts_with(path || '/', '/EUROPE/NATION_3/')
+  AND NOT contains(path || CASE WHEN is_dir THEN '/' ELSE '' END, '/NATION_1/')""")
+def _(s, d):
+    left_out = areas.excluded(F.col("path"), F.col("is_dir"), "/", ("NATION_1", "order_00000002.png"), ("/EUROPE/NATION_3", "/"), ("asia",))
+    return catalogs.with_paths(catalog(s, d)).where(~left_out).select("id", "path")
+
+
+@_query("new_roots", f"""{_PATHS} SELECT path, starts_with(path || '/', '/EUROPE/') OR starts_with(path || '/', '/ASIA/NATION_2/') OR starts_with('/ASIA/NATION_2/', path || '/') AS overlaps
+  FROM paths WHERE is_dir""")
+def _(s, d):
+    folders = catalogs.with_paths(catalog(s, d)).where("is_dir")
+    return folders.select("path", areas.overlaps(F.col("path"), ["/EUROPE", "/ASIA/NATION_2/"]).alias("overlaps"))
+
+
+@_query("bookmarked_paths", "SELECT '/a b/' || page_id % 10 AS path, min(page_id) AS line FROM pages WHERE page_id % 3 = 0 GROUP BY 1")
+def _(s, d):
+    k, n = F.col("page_id") % 3, (F.col("page_id") % 10).cast("string")
+    text = F.when(k == 0, F.concat(F.lit("file:///a%20b/"), n, F.lit(" A label"))).when(k == 1, F.concat(F.lit("sftp://host/"), n)).otherwise("file:///c%zz")
+    return addresses.bookmarks(table(s, d, "pages").select(F.col("page_id").alias("line"), text.alias("text")))
+
+
+@_query("described_records", f"""{_CATALOG} SELECT CASE WHEN is_dir THEN 'Folder' WHEN name LIKE '%.pdf' THEN 'PDF Document' WHEN name LIKE '%.png' THEN 'PNG Image' WHEN name LIKE '%.txt' THEN 'Plain Text'
+  WHEN name LIKE '%.zip' THEN 'ZIP Archive' WHEN name LIKE '%.rs' THEN 'Rust Source' END AS described, count(*) AS n FROM catalog GROUP BY 1""")
+def _(s, d):
+    return catalog(s, d).groupBy(names.described(F.col("name"), F.col("is_dir")).alias("described")).agg(F.count("*").alias("n"))
+
+
+@_query("last_days", """WITH x AS (SELECT event_id, ts::DATE AS day FROM events), y AS (SELECT *, dayofweek(day) AS w FROM x)
+  SELECT event_id, (epoch(day - CASE WHEN w = 2 THEN 7 ELSE (w + 5) % 7 END::INT) // 86400)::BIGINT AS last_tuesday,
+  (epoch(day - CASE WHEN w = 0 THEN 8 ELSE w + 1 END::INT) // 86400)::BIGINT AS last_weekend FROM y""")
+def _(s, d):
+    day = names.day(F.floor(names.seconds(F.col("ts"))))
+    return table(s, d, "events").select("event_id", names.previous_weekday(day, 2).cast("long").alias("last_tuesday"), names.last_weekend(day).cast("long").alias("last_weekend"))
+
+
+@_query("used_fractions", "SELECT p_partkey, CASE WHEN total > 0 THEN greatest(total - free, 0) / total ELSE 0 END::FLOAT AS used FROM (SELECT p_partkey, CASE WHEN p_size > 3 THEN p_size * 100 - 400 END AS total, p_retailprice AS free FROM part)")
+def _(s, d):
+    total = F.when(F.col("p_size") > 3, F.col("p_size") * 100 - 400)
+    return table(s, d, "part").select("p_partkey", names.used_fraction(total, F.col("p_retailprice")).alias("used"))
+
+
+_RENAMED_SQL = f"""{_PATHS}, f AS (SELECT path, name, row_number() OVER (ORDER BY path) AS n, count(*) OVER () AS total FROM paths WHERE is_dir AND parent IN (SELECT id FROM catalog WHERE parent = 0))"""
+
+
+def _renamed(s, d):
+    """The folders right below the roots."""
+    records = catalogs.with_paths(catalog(s, d))
+    roots = records.where("parent = 0").select(F.col("id").alias("parent"))
+    return mutations.renamed(records.where("is_dir").join(roots, "parent", "left_semi"), patterns.parsed("{n} {name}"))
+
+
+@_query("plan_rename_batch", f"{_RENAMED_SQL} SELECT path AS source, lpad(n::VARCHAR, len(total::VARCHAR)::INT, '0') || ' ' || name AS name, false AS unchanged FROM f")
+def _(s, d):
+    return _renamed(s, d)
+
+
+@_query("plan_totals", f"{_RENAMED_SQL} SELECT count(*) AS operations, 0::BIGINT AS skipped FROM f")
+def _(s, d):
+    return _renamed(s, d).agg(F.count_if(~F.col("unchanged")).alias("operations"), F.count_if("unchanged").alias("skipped"))

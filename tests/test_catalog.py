@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog.functions import addresses, grammar, names, patterns
+from stratalog.functions import addresses, areas, grammar, names, patterns
 from stratalog.operators import catalogs, mutations, side_tables
 from stratalog.plans import registry
 from stratalog.streaming import changes
@@ -183,3 +183,23 @@ def test_tag_sets(spark):
     assert shown(side_tables.with_tag(F.col("tags"), tag("c\n0"), F.lit("a"))) == [[("c", None), ("b", None)], [("c", None)]]
     assert shown(side_tables.with_tag(F.col("tags"), tag("x\n8"), F.lit("no")))[1] == [("x\n8", None)]
     assert shown(side_tables.without_tag(F.col("tags"), F.lit("A")))[0] == [("b", None), ("c", None)] and shown(side_tables.without_tag(F.col("tags"))) == [[], []]
+
+
+def test_areas_and_descriptions(spark):
+    paths = [("/r", True), ("/r/USR/x", False), ("/r/a/usr", True), ("/r/a/target/x", False), ("/r/a/target", True), ("/r/a/target2", True), ("/r/b/target", False), ("/r/net/x", False), ("/s/usr", True)]
+    df = spark.createDataFrame(paths, "path string, is_dir boolean")
+    got = df.select(areas.excluded(F.col("path"), F.col("is_dir"), "/r", ("target",), ("/r/net", "/r", "/")).alias("x")).collect()
+    assert [r.x for r in got] == [False, True, False, True, True, False, False, True, False]
+    named = [("LICENSE-MIT", "Plain Text"), ("readme", "Plain Text"), (".bashrc", "File"), ("a.tar.GZ", "GZ Archive"), ("x.qqq", "QQQ File"), ("x.md", "Markdown")]
+    shown = spark.createDataFrame([(n,) for n, _ in named], "name string").select(names.described(F.col("name"), F.lit(False)).alias("x")).collect()
+    assert [r.x for r in shown] == [x for _, x in named]
+
+
+def test_refused_batches(spark):
+    files = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    cases = [((), "{n}", "no matches"), (("/a", "/b"), "x.{ext}", "one name for all"), (("/a",), "..", "invalid name"), (("/a.x", "/a.y"), "{name}", "collision"), (("/a.x",), "{name}.{ext}", "nothing to do")]
+    cases.append((tuple(f"/{i}" for i in range(1001)), "{n}", "too many"))
+    for paths, pattern, why in cases:
+        with pytest.raises(mutations.Refused, match=why):
+            mutations.renamed(files(*paths), patterns.parsed(pattern))
+    assert {tuple(r) for r in mutations.renamed(files("/d/b.x", "/d/a.x"), patterns.parsed("{n}")).collect()} == {("/d/a.x", "1", False), ("/d/b.x", "2", False)}
