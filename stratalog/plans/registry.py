@@ -11,8 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import addresses, areas, grammar, names, patterns
-from ..operators import catalogs, mutations, side_tables
+from ..functions import addresses, areas, commands, grammar, names, patterns, phrases
+from ..operators import catalogs, mutations, sentences, side_tables
 from ..sources.catalog import CATALOG_SQL, PATHS_SQL, catalog, table
 from ..streaming import changes
 
@@ -588,6 +588,88 @@ def _(s, d):
     return table(s, d, "documents").withColumn("path", F.concat(F.lit("doc:"), F.col("doc_id"))).join(allowed, "path", "left_semi").select("doc_id")
 
 
+# --- plain words ----------------------------------------------------------------------------------------------------------------------------
+
+#: Typed words, the text that is left of them, and field, comparison and bounds of each phrase.
+_SPOKEN = [
+    ("photos from last week", "", [("kind", "=", "Image", None), ("modified", "range", "1783857600", "1784462400")]), ("screenshots", "screenshots", []), ("old screenshots", "old screenshot", [("kind", "=", "Image", None)]),
+    ("older than yesterday", "older than yesterday", []), ("pdfs over 20 megabytes", "", [("ext", "=", "pdf", None), ("size", ">", "20971520", None)]), ("kids under 5", "kids under 5", []),
+    ("notes a couple of days ago", "notes", [("modified", "range", "1784808000", "1784980800")]), ("report since last monday", "report", [("modified", ">=", "1784505600", None)]), ("modified config", "modified config", []),
+    ("in 2025", "", [("modified", "range", "1735689600", "1767225599")]), ("budget 2025", "budget 2025", []), ("zips before june 2024", "", [("kind", "=", "Archive", None), ("modified", "<", "1717200000", None)]),
+    ("songs on july 31", "", [("kind", "=", "Audio", None), ("modified", "range", "1753920000", "1754006399")]), ("last weekend python files", "", [("modified", "range", "1784332800", "1784505599"), ("ext", "=", "py", None)]),
+    ("tiny docs newer than 2 weeks", "", [("size", "<", "1048576", None), ("kind", "=", "Document", None), ("modified", ">", "1783857600", None)]),
+]
+
+
+def _values_sql(rows: list[tuple], columns: str) -> str:
+    quoted = lambda x: "NULL::VARCHAR" if x is None else f"'{x}'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) AS t({columns})"
+
+
+_NO_FILTER = [(None,) * 4]
+
+
+@_query("spoken_words", _values_sql([(words, text, *f) for words, text, found in _SPOKEN for f in found or _NO_FILTER], "words, text, field, op, low, high"))
+def _(s, d):
+    text = lambda x: None if x is None else str(x)
+    read = [(words, phrases.expand(words, _NOW)) for words, *_ in _SPOKEN]
+    rows = [(words, x.text, *f) for words, x in read for f in [(f.field, f.op, text(f.low), text(f.high)) for f in x.filters] or _NO_FILTER]
+    return s.createDataFrame(rows, "words string, text string, field string, op string, low string, high string")
+
+
+@_query("spoken_search", _ranked_sql("order", "name LIKE '%.pdf' AND size > 10485760 AND mtime BETWEEN 852076800 AND 883612799"))
+def _(s, d):
+    query = phrases.searched("order pdfs over 10 megabytes from 1997", _NOW)
+    return _page(catalogs.ranked(catalog(s, d), query.text, query.where(), ascii_only=True))
+
+
+#: Sentences with their verb, what they act on (text, filters, folder) and what with.
+_SENTENCES = [
+    ("move pdfs from Downloads to Documents", "move", "", "ext", "Downloads", "Documents"), ("delete screenshots", "delete", "screenshot", "kind", None, None), ("remove tag Work from invoices", "untag", "invoices", "", None, "Work"),
+    ("copy big videos in my Movies folder into the Backup folder", "copy", "", "size,kind", "Movies", "Backup"), ("move report to a new folder called Trip", "move", "report", "", None, "Trip"),
+    ("organize Downloads by type", "organize", "", "", "Downloads", "kind"), ("tag notes with blue very urgent", "tag", "notes", "", None, "very urgent"), ("zip photos from last week", "compress", "", "kind,modified", None, None),
+    ("how many pdfs are there?", "count", "", "ext", None, None), ("how big is Downloads", "size", "Downloads", "", None, None), ("largest 10 videos", "largest", "", "kind", None, "10"), ("delete", None, None, None, None, None),
+    ("go to the Downloads folder in a new tab", "go", None, None, None, "Downloads"), ("quarterly report", None, None, None, None, None),
+]
+
+
+@_query("spoken_sentences", _values_sql(_SENTENCES, "sentence, verb, text, fields, folder, other"))
+def _(s, d):
+    def row(sentence: str) -> tuple:
+        match found := commands.interpreted(sentence, _NOW):
+            case None:
+                return (sentence, *(None,) * 5)
+            case commands.Go(name):
+                return sentence, "go", None, None, None, name
+            case commands.Question():
+                verb, other = found.asks, found.top
+            case commands.Command():
+                verb, other = found.verb, getattr(found.to, "name", found.to)
+        of = found.of
+        return sentence, verb, of.text, ",".join(f.field for f in of.filters), of.within and of.within.name, None if other is None else str(other)
+
+    return s.createDataFrame([row(sentence) for sentence, *_ in _SENTENCES], "sentence string, verb string, text string, fields string, folder string, other string")
+
+
+def _answer(s, d, sentence: str, shown: str = "/") -> DataFrame:
+    return sentences.answered(commands.interpreted(sentence, _NOW), catalogs.with_paths(catalog(s, d)), shown)
+
+
+@_query("spoken_count", f"{_PATHS} SELECT count(*) AS n FROM paths WHERE starts_with(path, '/ASIA/') AND name LIKE '%.pdf' AND NOT is_dir")
+def _(s, d):
+    return _answer(s, d, "how many pdfs in asia")
+
+
+@_query("spoken_size", f"{_PATHS} SELECT count(*) AS n, sum(size)::BIGINT AS bytes FROM paths WHERE starts_with(path, '/EUROPE/NATION_3/') AND NOT is_dir")
+def _(s, d):
+    return _answer(s, d, "how big is nation_3?", "/EUROPE")
+
+
+@_query("spoken_largest", f"{_PATHS} SELECT id, path, size FROM paths WHERE (name LIKE '%.pdf' OR name LIKE '%.txt') AND NOT is_dir AND size IS NOT NULL AND mtime >= 852076800 ORDER BY size DESC, id LIMIT 20")
+def _(s, d):
+    return _answer(s, d, "largest 20 documents since 1997")
+
+
 _WORDS_OF_SQL = "list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda w: w <> '')"
 
 

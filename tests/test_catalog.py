@@ -6,8 +6,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog.functions import addresses, areas, grammar, names, patterns
-from stratalog.operators import catalogs, mutations, side_tables
+from stratalog.functions import addresses, areas, commands, grammar, names, patterns, phrases
+from stratalog.operators import catalogs, mutations, sentences, side_tables
 from stratalog.plans import registry
 from stratalog.streaming import changes
 
@@ -203,3 +203,57 @@ def test_refused_batches(spark):
         with pytest.raises(mutations.Refused, match=why):
             mutations.renamed(files(*paths), patterns.parsed(pattern))
     assert {tuple(r) for r in mutations.renamed(files("/d/b.x", "/d/a.x"), patterns.parsed("{n}")).collect()} == {("/d/a.x", "1", False), ("/d/b.x", "2", False)}
+
+
+NOW = 1785067200  # 2026-07-26, a Sunday
+DAY = 86400
+
+
+def test_phrases():
+    read = lambda raw, **k: (lambda x: (x.text, [(f.field, f.op, f.low, f.high) for f in x.filters]))(phrases.expand(raw, NOW, **k))
+    today = NOW // DAY * DAY
+    assert read("") == ("", []) and read("  my  ") == ("my", []) and read("photos") == ("photos", []) and read("photos", described=True)[1] == [("kind", "=", "Image", None)]
+    assert read("the plan of photos of my meeting") == ("the plan meeting", [("kind", "=", "Image", None)])
+    assert read("size:>1k files my photos") == ("size:>1k", [("kind", "=", "Image", None)])
+    assert read("older than the photos") == ("older than", [("kind", "=", "Image", None)])
+    assert read("swift opus md mp3s")[0] == "swift opus md" and read("big files")[1] == [("size", ">", 100 * 2**20, None)]
+    assert read("at least a gigabyte")[1] == [("size", ">=", 2**30, None)] and read("over 1.5gb")[1] == [("size", ">", 3 * 2**29, None)] and read("over 5 parrots") == ("over 5 parrots", [])
+    assert read("within a month")[1] == [("modified", ">=", NOW - 30 * DAY, None)] and read("past few hours")[1] == [("modified", ">=", NOW - 3 * 3600, None)]
+    assert read("last sunday")[1] == [("modified", "range", today - 7 * DAY, today - 6 * DAY - 1)] and read("last saturday")[1] == [("modified", "range", today - DAY, today - 1)]
+    assert read("after yesterday")[1] == [("modified", ">", today - 1, None)] and read("since this week")[1] == [("modified", ">=", NOW - 7 * DAY, None)]
+    assert read("on feb 29") == ("29", [("modified", "range", 1769904000, 1772323199)]) and read("in december")[1][0][2] == 1764547200 and read("on 31st july")[1] == read("on july 31st")[1]
+    assert read("past 999999999999999 years") == ("past 999999999999999 years", []) and read("in 1969") == ("in 1969", [])
+    assert phrases.without_phrase("big Photos From last week x", "photos from") == "big last week x" and phrases.without_phrase(" a b ", "") == "a b" and phrases.without_phrase("a b", "c") == "a b"
+    labels = [(p.label, p.plain_label) for p in phrases.expand("pdfs photos last week", NOW).phrases]
+    assert labels == [("ext:pdf", "PDF files"), ("kind:image", "Images"), ("last week", "Last week")]
+
+
+def test_commands():
+    assert [commands.command(t, NOW) for t in ("", "move", "move a to", "move to b", "rename a to {x}", "organize a by color", "delete my", "tag x as")] == [None] * 8
+    strict = [t for t in ("delete old logs", "delete photos", "zip photos", "move a to b", "remove tag x from y", "organize a") if commands.command(t, NOW, auto=True)]
+    assert strict == ["delete photos", "move a to b"]
+    moved = commands.command("move from to to to b", NOW)
+    assert moved.to == commands.Destination("b") and moved.of.within == commands.Destination("to to")
+    assert commands.destination(["new", "folder"]) == commands.Destination("new") and commands.destination(["a", "new", "folder", "x"]) == commands.Destination("x", True) and commands.destination(["folder"]) is None
+    assert commands.command("delete photos from last week", NOW).of.within is None and commands.command("delete photos from june", NOW).of.within == commands.Destination("june")  # a month's name alone is text
+    assert commands.command("tag it as gray", NOW).to == commands.Tag("Gray", "grey") and commands.command("tag it as gray", NOW).of.picked
+    assert commands.question(["count", "my", "everything"], NOW).of == commands.Selection("everything") and commands.question(["largest"], NOW) is None
+    assert commands.go("open x in new tab".split()) == commands.Go("x", True) and commands.go("go to the".split()) == commands.Go("the")
+    assert ("zip selected", "Compress to ZIP") in commands.suggested("comp") and commands.suggested("zip xyz") == commands.suggested("zip") and len(commands.suggested("")) == 14
+
+
+def test_sentences_over_a_catalog(spark):
+    rows = [(1, 0, 1, "r", True, None, None), (2, 1, 1, "Docs", True, None, None), (3, 1, 1, "docs", True, None, None), (4, 1, 1, "Archive", True, None, None), (5, 2, 1, "deep", True, None, None),
+            (6, 5, 1, "a.pdf", False, 10, 0), (7, 3, 1, "b.pdf", False, None, None), (8, 4, 1, "c.png", False, 7, 0)]
+    paths = catalogs.with_paths(spark.createDataFrame(rows, "id long, parent long, root long, name string, is_dir boolean, size long, mtime long"))
+    place = lambda name, create=False: sentences.resolved(commands.Destination(name, create), paths, "/r")
+    assert place("docs") == "/r/docs" and place("Docs") == "/r/Docs" and place("DOCS") == "/r/Docs" and place("here") == "/r" and place("Docs/deep") == "/r/Docs/deep" and place("/r/Docs/deep/") == "/r/Docs/deep"
+    assert place("archvie") == "/r/Archive" and place("nowhere") is None and place("new", True) == "/r/new" and place("/x") is None and place("a/b", True) is None
+    ask = lambda t, **k: [tuple(r) for r in sentences.answered(commands.interpreted(t, NOW), paths, "/r", **k).collect()]
+    assert ask("how many pdfs") == [(2,)] and ask("how big is Docs") == [(1, 10)] and ask("how big are pdfs") == [(2, 10)] and ask("how many pdfs in archive") == [(0,)] and ask("how big is archive") == [(1, 7)]
+    assert ask("largest files") == [(6, "/r/Docs/deep/a.pdf", 10), (8, "/r/Archive/c.png", 7)] and ask("how many files tag:Work", tagged=spark.createDataFrame([("/r/docs/b.pdf", "work")], "path string, tag string")) == [(1,)]
+    assert ask("how many selected", picked=spark.createDataFrame([("/r/docs/b.pdf",)], "path string")) == [(1,)]
+    with pytest.raises(ValueError):
+        ask("how many pdfs in nowhere")
+    empty = paths.limit(0)
+    assert sentences.answered(commands.interpreted("how big are pdfs", NOW), empty).collect()[0]["bytes"] == 0
