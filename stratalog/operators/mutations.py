@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.patterns import NamePattern
 
-#: Variants of a name that are tried; beyond, the name stays as it is.
-MOST_VARIANTS = 10_000
-_STEM = r"^(.+)\.([^.]*)$"
+_STEM = r"(?s)^(.+)\.([^.]*)$"
 
 
 def leaf(path: Column) -> Column:
@@ -30,44 +28,59 @@ def _family(name: Column) -> tuple[Column, Column]:
     """What all names share that can be variants of each other: the stem without numbers at its end, and the extension."""
     split = name.rlike(_STEM)
     stem = F.when(split, F.regexp_extract(name, _STEM, 1)).otherwise(name)
-    return F.regexp_replace(stem, r"( \d+)+$", "").alias("_stem"), F.when(split, F.concat(F.lit("."), F.regexp_extract(name, _STEM, 2))).otherwise("").alias("_ext")
+    return F.regexp_replace(stem, r"( \d+)+\z", "").alias("_stem"), F.when(split, F.concat(F.lit("."), F.regexp_extract(name, _STEM, 2))).otherwise("").alias("_ext")
 
 
 def transfers(files: DataFrame, dest: str, on_disk: DataFrame, policy: str = "keep_both") -> DataFrame:
     """(path, target) for each of ``files`` (path) that goes to ``dest``, whose names are ``on_disk`` (name).
 
     Files under ``dest`` and folders above it stay where they are. In the order of their paths, files get the first free of name, "stem 2.ext",
-    "stem 3.ext" and so on; with ``skip`` names on disk stay behind, with ``replace`` the first file takes the name. Names can only clash within
-    a family of one stem, so each family is one group; a plan has at most a thousand files.
+    "stem 3.ext" and so on, however many; with ``skip`` names on disk stay behind, with ``replace`` the first file takes the name. Names can only clash
+    within a family of one stem, so each family goes through one task, after its names on disk and by path. The task holds a family's different names,
+    not its files.
     """
     if policy not in ("keep_both", "skip", "replace"):
         raise ValueError(f"no such policy: {policy}")
     dest = dest.rstrip("/")
     above = F.startswith(F.lit(dest + "/"), F.concat("path", F.lit("/")))
     moved = files.where(~(names.path_under(F.col("path"), dest) | above)).select("path", leaf(F.col("path")).alias("name"))
-    moved = moved.select("*", *_family(F.col("name")))
-    taken = on_disk.select("name", *_family(F.col("name"))).join(moved.select("_stem", "_ext").distinct(), ["_stem", "_ext"], "left_semi")
-
-    def fold(moved: pd.DataFrame, taken: pd.DataFrame) -> pd.DataFrame:
-        disk, claimed, at, out = set(taken["name"]), set(), {}, []
-        for path, name in moved.sort_values("path")[["path", "name"]].itertuples(index=False):
-            clash = name in disk
-            if clash and policy == "skip":
-                continue
-            free = name
-            if name in claimed or (clash and policy != "replace"):
-                found = re.match(_STEM, name, re.DOTALL)
+    disk_first = moved.unionByName(on_disk.where("name is not null").select(F.lit(None).cast("string").alias("path"), "name"))
+    ordered = disk_first.select(*_family(F.col("name")), "path", "name").repartition("_stem", "_ext").sortWithinPartitions("_stem", "_ext", F.col("path").asc_nulls_first())
+
+    def fold(batches):
+        # Of the family: names on disk, names that files took as they are, and the last number given (or passed over) after each name.
+        family, disk, plain, at = None, set(), set(), {}
+        for batch in batches:
+            paths, targets = [], []
+            for *key, path, name in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != family:
+                    family, disk, plain, at = key, set(), set(), {}
+                if path is None:
+                    disk.add(name)
+                    continue
+                clash = name in disk
+                if clash and policy == "skip":
+                    continue
+                found = re.match(_STEM, name)
                 stem, ext = (found[1], "." + found[2]) if found else (name, "")
-                n = at.get(name, 2)
-                while n < MOST_VARIANTS and (f"{stem} {n}{ext}" in disk or f"{stem} {n}{ext}" in claimed):
-                    n += 1
-                at[name] = n
-                free = f"{stem} {n}{ext}" if n < MOST_VARIANTS else name
-            claimed.add(free)
-            out.append((path, f"{dest}/{free}"))
-        return pd.DataFrame(out, columns=["path", "target"])
-
-    return moved.groupBy("_stem", "_ext").cogroup(taken.groupBy("_stem", "_ext")).applyInPandas(fold, "path string, target string")
+                free = None
+                if name not in at:
+                    at[name] = 1
+                    variant = re.fullmatch(r"(?s)(.+) ([1-9][0-9]{0,17})", stem)
+                    claimed = not clash and variant and 1 < int(variant[2]) <= at.get(variant[1] + ext, 1)
+                    if not claimed and (not clash or policy == "replace"):
+                        plain.add(name)
+                        free = name
+                while free is None:
+                    at[name] += 1
+                    tried = f"{stem} {at[name]}{ext}"
+                    if tried not in disk and tried not in plain:
+                        free = tried
+                paths.append(path)
+                targets.append(f"{dest}/{free}")
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(targets, pa.string())], ["path", "target"])
+
+    return ordered.mapInArrow(fold, "path string, target string")
 
 
 def undone(operations: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Every query with SQL gives what DuckDB gives; names, merges and paths follow their rules on small cases."""
 
+import itertools
 import os
+import random
 
 import duckdb
 import pytest
@@ -94,6 +96,34 @@ def test_free_names(spark):
         mutations.transfers(files, "/in", disk, "guess")
 
 
+def test_free_names_beyond_ten_thousand(spark):
+    files = spark.range(10_010).select(F.format_string("/%05d/x.txt", "id").alias("path"))
+    disk = spark.createDataFrame([("x 10000.txt",)], "name string")
+    got = [r.target for r in mutations.transfers(files, "/in", disk).orderBy("path").collect()]
+    assert got == ["/in/x.txt"] + [f"/in/x {n}.txt" for n in range(2, 10_012) if n != 10_000]
+
+
+@pytest.mark.parametrize("policy", ["keep_both", "skip", "replace"])
+def test_free_names_equal_those_taken_one_by_one(spark, policy):
+    draw = random.Random(5)
+    stems = ["x", "x 2", "x 3", "x 02", "x 1", "x 2 2", "x 2 3", "a\nb", "a\nb 2", "x 2\n", "x 2\n 2", " 2", ".rc", ".rc 2"]
+    leaves = [stem + ext for stem in stems for ext in ("", ".e", ".")]
+    paths = [f"/{n:03d}/{draw.choice(leaves)}" for n in range(700)]
+    disk = draw.sample(leaves, 9) + ["x 5", "x 7.e", "x 2 4.", "x 8."]
+    taken, want = set(), {}
+    for path in paths:
+        name = path.split("/")[2]
+        if name in disk and policy == "skip":
+            continue
+        dot = name.rfind(".") if name.rfind(".") > 0 else len(name)
+        tried = itertools.chain([name], (f"{name[:dot]} {n}{name[dot:]}" for n in itertools.count(2)))
+        free = next(t for t in tried if t not in taken and (t not in disk or (policy == "replace" and t == name)))
+        taken.add(free)
+        want[path] = "/in/" + free
+    made = mutations.transfers(spark.createDataFrame([(p,) for p in paths], "path string"), "/in", spark.createDataFrame([(n,) for n in disk], "name string"), policy)
+    assert {r.path: r.target for r in made.collect()} == want
+
+
 def test_remapping_replaces_what_was_there(spark):
     entries = spark.createDataFrame([("/a", 1), ("/a/b", 2), ("/ab", 3), ("/c/b", 4)], "path string, icon int")
     assert sorted(map(tuple, mutations.remapped(entries, "/a", "/c").collect())) == [("/ab", 3), ("/c", 1), ("/c/b", 2)]
