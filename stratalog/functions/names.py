@@ -207,11 +207,16 @@ def glob(name: Column, pattern: str) -> Column:
 
 
 def format_size(n: Column) -> Column:
-    """Bytes as they are, then one decimal in steps of 1024."""
+    """Bytes as they are, then one decimal in steps of 1024. Halves of a tenth go to the even tenth; format_string alone takes them up."""
+
+    def tenths(i: int, unit: str) -> Column:
+        value = n / float(1024**i)
+        return F.format_string("%.1f " + unit, F.floor(value) + F.rint(value % 1 * 10) / 10)
+
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
     for i, unit in enumerate(("KB", "MB", "GB"), 1):
-        out = out.when(n < 1024 ** (i + 1), F.format_string("%.1f " + unit, n / float(1024**i)))
-    return out.otherwise(F.format_string("%.1f TB", n / float(1024**4)))
+        out = out.when(n < 1024 ** (i + 1), tenths(i, unit))
+    return out.otherwise(tenths(4, "TB"))
 
 
 def bits(n: Column) -> Column:

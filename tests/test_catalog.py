@@ -63,6 +63,19 @@ def test_kinds_and_extensions_of_dot_files(spark):
     assert got == [("Image", None, "File"), ("Image", "png", "Image"), ("Other", "", "File"), ("Other", None, "File"), ("Other", None, "File")]
 
 
+def test_sizes_round_halves_to_even(spark, con):
+    draw = random.Random(7)
+    sizes = [0, 1023, 1024, 1280, 1792, 1048575, 1048576, 2**40 - 1, 2**40, 2**62 + 2**60]
+    for unit in (2**10, 2**20, 2**30, 2**40):
+        sizes += [unit * k // 4 + d for k in (5, 7, 9, 4093, 4095) for d in (-1, 0, 1)] + [draw.randrange(unit, 1024 * unit) for _ in range(500)]
+    got = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", names.format_size(F.col("n"))).collect()
+    for n, label in got:
+        i = min(max(n.bit_length() - 1, 0) // 10, 4)
+        assert label == (f"{n / 1024**i:.1f} {'KB MB GB TB'.split()[i - 1]}" if i else f"{n} B")
+        if 1024 <= n < 2**40:
+            assert label[:-3] == con.execute("SELECT printf('%.1f', ? / ?::DOUBLE)", [n, 1024.0**i]).fetchone()[0]
+
+
 def test_edits():
     assert names.swaps_distance("report", "rpeort", 2) == 1
     assert names.swaps_distance("ca", "abc", 3) == 3
