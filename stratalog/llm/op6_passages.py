@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, release, staged, table
 from .mail import MAIL, cuts, letters, packed, packed_sorted, post, posted, unpacked, unpacked_sorted
-from .words import grams, mixed, word_hashes
+from .words import grams, hashed, mixed
 
 #: With random substitutions, 97 % of passages of 50 words at IDENTITY keep two seeds.
 K = 4
@@ -228,9 +228,9 @@ def _chunks(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], names=names)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, words in zip(batch.column(0).to_pylist(), hashed(x.as_py() for x in batch.column(1))):
                 ids.append(doc)
-                texts.append(word_hashes(text.as_py()))
+                texts.append(words)
                 held += len(texts[-1])
                 if held >= CHUNK_WORDS:
                     yield closed()
@@ -364,23 +364,26 @@ def _aligned(docs: DataFrame, found: DataFrame, least: int, identity: float, mar
     # a document that very many others have parts of is read once for each NEEDS of them
     parts = needs.groupBy("id").agg(F.ceil(F.count("*") / NEEDS).alias("parts"))
     needs = needs.join(parts.hint("merge"), "id").groupBy("id", F.pmod(F.xxhash64("n.doc_id", "n.p"), "parts").alias("part")).agg(F.collect_list("n").alias("needs"))
-    kinds = (*_CHAIN_KINDS, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
     names = ("doc_id", "other", "p", "a", "chain", "side", "version", "low", "n_words", "words")
 
     def sliced(batches):
         for batch in batches:
-            out, held = [], 0
-            for text, version, needs in zip(batch.column("text"), batch.column("version").to_pylist(), batch.column("needs")):
-                words = word_hashes(text.as_py())
-                for x in needs.as_py():
-                    at = x["chain"][x["side"] :: 2]
-                    low, high = max(0, at[0] - spare), at[-1] + K + spare
-                    out.append((x["doc_id"], x["other"], x["p"], x["a"], x["chain"] if x["side"] == 0 else None, x["side"], version, low, len(words), _short(words[low:high])))
-                    held += len(out[-1][-1])
-                if held > 1 << 24:
-                    yield _rows(out, kinds, names)
-                    out, held = [], 0
-            yield _rows(out, kinds, names)
+            of, needs = _offsets(batch.column("needs"))
+            side, chain = needs.field("side").to_numpy(), needs.field("chain")
+            steps, points = chain.offsets.to_numpy(), chain.values.to_numpy().astype(np.int64)
+            low, high = np.maximum(0, points[steps[:-1] + side] - spare), points[steps[1:] - 2 + side] + K + spare
+            columns = [*(needs.field(c) for c in ("doc_id", "other", "p", "a")), chain.take(pa.array(np.arange(len(side)), mask=side != 0)), needs.field("side")]
+            ends, sizes = np.searchsorted(of, np.arange(batch.num_rows), "right"), np.zeros(batch.num_rows, np.int64)
+            start, at, out, held = 0, 0, [], 0
+            for i, words in enumerate(hashed(x.as_py() for x in batch.column("text"))):
+                sizes[i], raw, end = len(words), _short(words), int(ends[i])
+                out += [raw[5 * x : 5 * y] for x, y in zip(low[at:end].tolist(), high[at:end].tolist())]
+                held, at = held + sum(map(len, out[at - start :])), end
+                if held > 1 << 24 or i + 1 == batch.num_rows:
+                    some = of[start:at]
+                    more = [batch.column("version").take(pa.array(some)), pa.array(low[start:at]), pa.array(sizes[some]), pa.array(out, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*(c[start:at] for c in columns), *more], names=list(names))
+                    start, out, held = at, [], 0
 
     def placed(batches):
         for batch in batches:
@@ -428,8 +431,7 @@ def passages(docs: DataFrame, least: int = LEAST, identity: float = IDENTITY) ->
     def whole(batches):
         for batch in batches:
             rows = [(np.zeros(0, np.int64),) * 3]
-            for doc, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "places"))):
-                words = word_hashes(text)
+            for doc, words, places in zip(batch.column("doc_id").to_pylist(), hashed(x.as_py() for x in batch.column("text")), batch.column("places").to_pylist()):
                 if len(words) >= least:
                     all_ = _stretches(words, least)
                     at = np.unique(np.concatenate([np.zeros(0, np.int64), *[np.arange(a, min(b + 1, len(all_))) for a, b in _runs(np.sort(np.array(places, np.int64)), least, len(words))]]))
